@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +77,40 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def summed_counters(rows: DataFrame, count, size: int, slices: int = 32) -> np.ndarray:
+    """The sum, as int64, of the counter array that ``count(batches)`` makes of each partition of rows.
+
+    size is fixed by the caller, so what reaches the driver does not grow with the data.
+    """
+    import pyarrow as pa
+
+    def partial(batches):
+        found = count(batches)
+        if found is not None and found.any():
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(slices), pa.int32()), "counts": [x.astype(np.int64).tobytes() for x in np.split(found, slices)]})
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b["slice"].to_pylist(), b["counts"].to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(x, np.int64)
+        for k, x in sums.items():
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "counts": [x.tobytes()]})
+
+    kind = "slice int, counts binary"
+    out, width = np.zeros(size, np.int64), size // slices
+    for k, x in rows.mapInArrow(partial, kind).repartition(slices, "slice").mapInArrow(add, kind).collect():
+        out[k * width : (k + 1) * width] = np.frombuffer(x, np.int64)
+    return out
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, remembered up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
