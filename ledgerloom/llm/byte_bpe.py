@@ -61,10 +61,25 @@ def boundaries(text: str, start: int, lo: int, hi: int, pre, last: bool) -> list
     return out
 
 
-def encode_documents(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 65_536, overlap: int = 1_024) -> DataFrame:
+def _tokens(rank_file: bytes) -> list[bytes]:
+    """The bytes of each id."""
+    key = ("decode", hash(rank_file))
+    if key not in _kept:
+        ranks = ranks_of(rank_file)
+        _kept[key] = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            _kept[key][i] = token
+    return _kept[key]
+
+
+def decode_bytes(ids: bytes, tokens: list[bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def encode_documents(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 65_536, overlap: int = 1_024, decode: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit) of every row; null texts count as empty.
 
-    Rows are kept as often as they occur.  A text whose chunks do not resynchronise within an overlap (one pre-token
+    With decode, also ``decoded``, the bytes that the ids decode to.  Rows are kept as often as they occur.  A text whose chunks do not resynchronise within an overlap (one pre-token
     longer than that) is encoded as a whole.
     """
     if not 16 <= overlap < chunk_chars:
@@ -73,13 +88,23 @@ def encode_documents(docs: DataFrame, rank_file: bytes, pattern: str, id_col: st
     rows = id_text(docs, id_col, text_col)
     step = chunk_chars - overlap
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, pre = _encoding(held.value, pattern)
-        for b in batches:
-            ids = [np.asarray(encode_text(t, encoding, pre), dtype="<u4") for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], [*b.schema.names[:-1], "n_tokens", "ids"])
+    def encoder(also_decode: bool):
+        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            encoding, pre = _encoding(held.value, pattern)
+            tokens = _tokens(held.value) if also_decode else []
+            for whole in batches:
+                for at in range(0, whole.num_rows, 500):
+                    b = whole.slice(at, 500)
+                    ids = [np.asarray(encode_text(t, encoding, pre), dtype="<u4").tobytes() for t in b.column(b.num_columns - 1).to_pylist()]
+                    out = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                    if also_decode:
+                        out.append(pa.array([decode_bytes(x, tokens) for x in ids], pa.binary()))
+                    yield pa.RecordBatch.from_arrays([*b.columns[:-1], *out], [*b.schema.names[:-1], "n_tokens", "ids", "decoded"][: b.num_columns - 1 + len(out)])
 
-    short = rows.where(F.length("text") <= chunk_chars).mapInArrow(encode, "doc_id bigint, n_tokens bigint, ids binary")
+        return encode
+
+    kind = "doc_id bigint, n_tokens bigint, ids binary" + ", decoded binary" * decode
+    short = rows.where(F.length("text") <= chunk_chars).mapInArrow(encoder(decode), kind)
 
     unique = rows.where(F.length("text") > chunk_chars).withColumn("key", F.concat_ws(":", F.md5("text"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     copies = unique.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("copies"))
@@ -120,14 +145,14 @@ def encode_documents(docs: DataFrame, rank_file: bytes, pattern: str, id_col: st
         unique.join(cuts, "key")
         .mapInArrow(pieces, "key string, k int, piece string")
         .repartition("key", "k")
-        .mapInArrow(encode, "key string, k int, n_tokens bigint, ids binary")
+        .mapInArrow(encoder(False), "key string, k int, n_tokens bigint, ids binary")
         .groupBy("key")
         .agg(F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
         .join(copies, "key")
         .select("doc_id", "n_tokens", F.aggregate("parts", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"])).alias("ids"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy"))
         .drop("copy")
     )
-    return short.unionByName(long)
+    return short.unionByName(decode_ids(long, rank_file) if decode else long)
 
 
 def decode_ids(encoded: DataFrame, rank_file: bytes, ids_col: str = "ids") -> DataFrame:
@@ -135,18 +160,14 @@ def decode_ids(encoded: DataFrame, rank_file: bytes, ids_col: str = "ids") -> Da
     held = encoded.sparkSession.sparkContext.broadcast(rank_file)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = ("decode", hash(held.value))
-        if key not in _kept:
-            ranks = ranks_of(held.value)
-            _kept[key] = [b""] * (max(ranks.values()) + 1)
-            for token, i in ranks.items():
-                _kept[key][i] = token
-        get = _kept[key].__getitem__
-        for b in batches:
-            out = [None if x is None else b"".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in b[ids_col].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "decoded"])
+        tokens = _tokens(held.value)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                out = [None if x is None else decode_bytes(x, tokens) for x in b[ids_col].to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "decoded"])
 
-    return encoded.mapInArrow(decode, encoded.withColumn("decoded", F.lit(b"")).schema)
+    return encoded.mapInArrow(decode, encoded.withColumn("decoded", F.lit(None).cast("binary")).schema)
 
 
 def ranks_file(path: str | None = None) -> bytes:
@@ -163,7 +184,7 @@ def query_digests(docs: DataFrame, rank_path: str | None = None) -> DataFrame:
     import public_tokenizers
 
     ranks = ranks_file(rank_path)
-    both = decode_ids(encode_documents(docs, ranks, public_tokenizers.PATTERN), ranks)
+    both = encode_documents(docs, ranks, public_tokenizers.PATTERN, decode=True)
     return both.select("doc_id", "n_tokens", sha_of(F.col("ids")).alias("ids_sha256"), sha_of(F.col("decoded")).alias("decoded_sha256"))
 
 
