@@ -164,7 +164,7 @@ _OUT = "doc_id bigint, item_id bigint, cosine double, lcs double, weighted_lcs d
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None,
-    rank: int = 64, min_share: float = 0.15, min_cosine: float = 0.35, min_lcs: float = 0.6, min_weighted: float = 0.6, min_answer: float = 0.6,
+    rank: int = 64, min_share: float = 0.35, min_cosine: float = 0.6, min_lcs: float = 0.5, min_weighted: float = 0.5, min_answer: float = 0.5,
 ) -> DataFrame:
     """doc_id, item_id, cosine, lcs, weighted_lcs, answer of every document and benchmark item it contains, or paraphrases.
 
@@ -236,6 +236,9 @@ def _searcher(block, space, min_share: float, min_cosine: float, min_lcs: float,
                     tried.add(spot)
                     near = first + spot[2] * around
                     region = word[max(first, near - around) : min(last, near + 2 * around + WINDOW)]
+                    held = np.isin(passage, region)  # bounds the subsequence from above
+                    if held.mean() < min_lcs or idf[passage][held].sum() < min_weighted * idf[passage].sum():
+                        continue
                     lcs, weighted, told = _judge(passage, answer, region, idf)
                     if lcs >= min_lcs and weighted >= min_weighted and told >= min_answer:
                         new = (lcs, weighted, told, float(cosine[i, j]))
