@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .operators import blocks, contiguity
+from .operators import archive, blocks, contiguity, publish, subscribe
 
-_MODULES = [blocks, contiguity]
+_MODULES = [blocks, contiguity, archive, publish, subscribe]
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict = {k: v for m in _MODULES for k, v in m.SQL.items()}
