@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from .operators import archive, blocks, contiguity, publish, subscribe
+from .functions import metrics
+from .operators import archive, backfill, blocks, contiguity, entities, publish, state, subscribe
 
-_MODULES = [blocks, contiguity, archive, publish, subscribe]
+_MODULES = [blocks, contiguity, archive, publish, subscribe, state, entities, backfill, metrics]
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict = {k: v for m in _MODULES for k, v in m.SQL.items()}
