@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from .functions import metrics
 from .operators import archive, backfill, blocks, contiguity, entities, publish, state, subscribe
+from .streaming import jobs
 
-_MODULES = [blocks, contiguity, archive, publish, subscribe, state, entities, backfill, metrics]
+_MODULES = [blocks, contiguity, archive, publish, subscribe, state, entities, backfill, metrics, jobs]
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict = {k: v for m in _MODULES for k, v in m.SQL.items()}
