@@ -6,7 +6,7 @@ filter after it, and each pair is verified once on the whole sets.
 
 Only components are asked for, so a pair whose ends are known to be connected needs no check.  The first round links the
 members of each n-gram's list to the member whose prefix reaches that n-gram earliest (a list gives as many pairs as it
-has members); the second takes the remaining pairs between different components.
+has members; a long list is dealt in parts, whose earliest members are linked likewise); the second takes the remaining pairs between different components.
 """
 
 from __future__ import annotations
@@ -16,13 +16,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, id_text, mix64, stored, summed_counters, table, task_count
 
 #: Counters of the document-frequency sketch: a fixed size, whatever the corpus.
 SKETCH = 1 << 19
+#: Entries that one part of an n-gram's list has, about; bits of the map of ids.
+LIST, BITMAP = 20_000, 1 << 25
 _SIGNATURE = 16
 
 
@@ -55,27 +57,32 @@ def _frequencies(rows: DataFrame, n: int) -> np.ndarray:
 
 
 def _prefixes(rows: DataFrame, n: int, pct: int) -> DataFrame:
-    """doc_id, n_shingles, key (of the set), tokens (the prefix, rarest first) and signature of every row."""
+    """doc_id, n_shingles, key (of the set), tokens (the prefix, rarest first), splits and signature of every row.
+
+    splits: into how many parts a prefix n-gram's list is dealt, by the frequency of its counter.
+    """
     held = rows.sparkSession.sparkContext.broadcast(_frequencies(rows, n))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, often = WordHashes(), held.value
         for b in batches:
-            sizes, keys, tokens, signatures = [], [], [], []
+            sizes, keys, tokens, splits, signatures = [], [], [], [], []
             for t in b["text"].cast(pa.binary()).to_pylist():
                 s = shingle_set(t, n, hashes)
-                size = len(s)
-                order = np.argsort(often[(s & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")
+                size, counts = len(s), often[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
+                order = np.argsort(counts, kind="stable")[: size - -(-pct * size // 100) + 1 if size else 0]
+                order = order[counts[order] > 1]  # a counter of one document's n-gram: no list
                 sizes.append(size)
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if size else None)
-                tokens.append(s[order[: size - -(-pct * size // 100) + 1 if size else 0]].view(np.int64))
+                tokens.append(s[order].view(np.int64))
+                splits.append((1 + counts[order] // LIST).astype(np.int32))
                 signatures.append(np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=_SIGNATURE).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(signatures, pa.list_(pa.int32()))],
-                ["doc_id", "n_shingles", "key", "tokens", "signature"],
+                [b["doc_id"], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(splits, pa.list_(pa.int32())), pa.array(signatures, pa.list_(pa.int32()))],
+                ["doc_id", "n_shingles", "key", "tokens", "splits", "signature"],
             )
 
-    return rows.mapInArrow(cut, "doc_id bigint, n_shingles bigint, key binary, tokens array<bigint>, signature array<int>")
+    return rows.mapInArrow(cut, "doc_id bigint, n_shingles bigint, key binary, tokens array<bigint>, splits array<int>, signature array<int>")
 
 
 def _similar_enough(n_a: Column, n_b: Column, overlap: Column, pct: int) -> Column:
@@ -83,29 +90,64 @@ def _similar_enough(n_a: Column, n_b: Column, overlap: Column, pct: int) -> Colu
     return (100 + pct) * overlap >= pct * (n_a + n_b)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, n: int, pct: int) -> DataFrame:
-    """Those pairs (a, b) of keys whose whole sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "rep"), "key")
+def _verified(pairs: DataFrame, rows: DataFrame, n: int, pct: int) -> DataFrame:
+    """Those pairs (a, b) of ids of which two texts have sets that are similar enough.
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+    A bitmap of fixed size, of the ids in pairs, keeps most other texts from being shuffled; the joins are exact.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        bits = np.zeros(BITMAP, np.uint8)
         for b in batches:
-            found = [shingle_set(t, n, hashes).tobytes() for t in b["text"].cast(pa.binary()).to_pylist()]
-            same = [xxhash.xxh3_128_digest(s) == k for s, k in zip(found, b["key"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b["key"], pa.array(found, pa.binary())], ["key", "items"]).filter(pa.array(same, pa.bool_()))
+            bits[_bit(b["id"].to_numpy())] = 1
+        return np.packbits(bits)
+
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    held = rows.sparkSession.sparkContext.broadcast(np.unpackbits(_any_bits(ids, mark)).astype(bool))
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(held.value[_bit(b["id"].to_numpy())], pa.bool_()))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for b in batches:
             ok = []
-            for x, y in zip(b["set_a"].to_pylist(), b["set_b"].to_pylist(), strict=True):
-                both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                ok.append((100 + pct) * both >= pct * (len(x) + len(y)) // 8)
+            for x, y in zip(b["text_a"].cast(pa.binary()).to_pylist(), b["text_b"].cast(pa.binary()).to_pylist(), strict=True):
+                x, y = shingle_set(x, n, hashes), shingle_set(y, n, hashes)
+                ok.append((100 + pct) * len(np.intersect1d(x, y, assume_unique=True)) >= pct * (len(x) + len(y)) > 0)
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    texts = rows.join(wanted, rows["doc_id"] == wanted["rep"]).select("key", "text")
-    items = texts.mapInArrow(sets, "key binary, items binary").dropDuplicates(["key"])
-    a, b = (items.select(F.col("key").alias(x), F.col("items").alias(f"set_{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a binary, b binary")
+    texts = rows.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text").mapInArrow(wanted, "id bigint, text string")
+    a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a bigint, b bigint").distinct()
+
+
+def _bit(ids: np.ndarray) -> np.ndarray:
+    return (mix64(ids.astype(np.int64).view(np.uint64)) % np.uint64(BITMAP)).astype(np.int64)
+
+
+def _any_bits(ids: DataFrame, mark) -> np.ndarray:
+    """The union of the bitmaps of all partitions, put together in slices."""
+    slices = 32
+
+    def partial(batches):
+        for k, x in enumerate(np.split(mark(batches), slices)):
+            if x.any():
+                yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "bits": [x.tobytes()]})
+
+    def either(batches):
+        found: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b["slice"].to_pylist(), b["bits"].to_pylist(), strict=True):
+                found[k] = found.get(k, 0) | np.frombuffer(x, np.uint8)
+        for k, x in found.items():
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "bits": [x.tobytes()]})
+
+    out, width = np.zeros(BITMAP // 8, np.uint8), BITMAP // 8 // slices
+    for k, x in ids.mapInArrow(partial, "slice int, bits binary").repartition(slices, "slice").mapInArrow(either, "slice int, bits binary").collect():
+        out[k * width : (k + 1) * width] = np.frombuffer(x, np.uint8)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -140,36 +182,41 @@ def ngram_groups(docs: DataFrame, n: int = 5, min_similarity_pct: int = 80, id_c
     parts = task_count(docs)
     sets = stored(_prefixes(rows, n, pct), "prefixes")
     linked = sets.where("key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = stored(linked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"), F.first("signature").alias("signature")), "classes")
-    entries = classes.select("key", "n", F.posexplode("tokens").alias("pos", "token")).repartition(parts, "token")
-
-    alpha_a = F.ceil(pct * (F.col("n_a") + F.col("n_b")) / (100 + pct))
-    fits = (pct * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")) & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= alpha_a)
-
-    # first round: each list's members against its earliest member
-    first = entries.groupBy("token").agg(F.min(F.struct("pos", "n", "key")).alias("p"), F.count("*").alias("c")).where("c > 1")
-    first = first.select("token", F.col("p.pos").alias("pos_a"), F.col("p.n").alias("n_a"), F.col("p.key").alias("a"))
-    members = entries.select("token", F.col("pos").alias("pos_b"), F.col("n").alias("n_b"), F.col("key").alias("b"))
-    stars = members.join(first, "token").where((F.col("a") != F.col("b")) & fits)
-    stars = stored(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
-    links = stored(_verified(_suffix_filtered(stars, classes, pct), classes, rows, n, pct), "links")
+    # rep, the smallest id of the class, stands for it from here
+    classes = stored(linked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "classes")
+    first = linked.select("doc_id", "key", "tokens", "splits").join(classes.select("key", "rep", "n"), "key").where("doc_id = rep").dropDuplicates(["rep", "key"])
+    entries = first.select("rep", "n", F.posexplode(F.arrays_zip("tokens", "splits")).alias("pos", "x")).select("rep", "n", "pos", F.col("x.tokens").alias("token"), F.col("x.splits").alias("splits"))
+    entries = entries.withColumn("part", F.pmod(F.xxhash64("rep"), "splits").cast("int")).repartition(parts, "token", "part")
+
+    alpha = F.ceil(pct * (F.col("n_a") + F.col("n_b")) / (100 + pct))
+    fits = (pct * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")) & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= alpha)
+
+    # first round: the members of each part of a list against its earliest, and these against the list's earliest
+    part = Window.partitionBy("token", "part")
+    listed = entries.select("*", F.min(F.struct("pos", "n", "rep")).over(part).alias("p"), F.count("*").over(part).alias("c")).where("c > 1 OR splits > 1")
+    listed = stored(listed.select("token", "splits", "rep", "n", "pos", "p"), "lists")
+    heads = listed.where("splits > 1").select("token", "p").distinct()
+    heads = heads.select("token", "p", F.min("p").over(Window.partitionBy("token")).alias("q"))
+    stars = listed.select("rep", "n", "pos", "p").unionByName(heads.select("p.rep", "p.n", "p.pos", F.col("q").alias("p")))
+    stars = stars.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("p.rep").alias("b"), F.col("p.n").alias("n_b"), F.col("p.pos").alias("pos_b")).where((F.col("a") != F.col("b")) & fits)
+    stars = stored(_suffix_filtered(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes, pct), "stars")
+    links = stored(_verified(stars, rows, n, pct), "links")
     roots = components(links)
 
     # second round: what is left between components
-    placed = entries.join(roots, entries["key"] == roots["node"], "left").select("token", "pos", "n", "key", F.coalesce("root", "key").alias("root"))
+    placed = listed.join(roots, listed["rep"] == roots["node"], "left").select("token", "pos", "n", "rep", F.coalesce("root", "rep").alias("root"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("token")
-    open_ = placed.join(mixed, "token")
-    a, b = (open_.select("token", F.col("pos").alias(f"pos_{x}"), F.col("n").alias(f"n_{x}"), F.col("key").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    open_ = stored(placed.join(mixed, "token"), "open")
+    a, b = (open_.select("token", F.col("pos").alias(f"pos_{x}"), F.col("n").alias(f"n_{x}"), F.col("rep").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
     pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & fits).select("a", "b").distinct()
     pairs = stored(_suffix_filtered(pairs.join(stars, ["a", "b"], "left_anti"), classes, pct), "pairs")
     if not pairs.isEmpty():
-        links = stored(links.unionByName(_verified(pairs, classes, rows, n, pct)), "links")
+        links = stored(links.unionByName(_verified(pairs, rows, n, pct)), "links")
         roots = components(links)
 
-    of_class = classes.select("key", "rep").join(roots, classes["key"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
-    names = of_class.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_class = of_class.join(names, "root").join(degree, "key", "left").select("key", "component_id", "n_links")
+    of_class = classes.select("key", "rep").join(roots, classes["rep"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("component_id"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    of_class = of_class.join(degree, "rep", "left").select("key", "component_id", "n_links")
     return (
         sets.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key"))
         .join(of_class, "key", "left")
@@ -179,9 +226,9 @@ def ngram_groups(docs: DataFrame, n: int = 5, min_similarity_pct: int = 80, id_c
 
 def _suffix_filtered(pairs: DataFrame, classes: DataFrame, pct: int) -> DataFrame:
     """Without pairs whose shingles, counted by their leading bits, cannot overlap enough."""
-    a, b = (classes.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}")) for x in "ab")
+    a, b = (classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}")) for x in "ab")
     most = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
-    return pairs.join(a, "a").join(b, "b").where(_similar_enough(F.col("n_a"), F.col("n_b"), most, pct)).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").where(_similar_enough(F.col("n_a"), F.col("n_b"), most, pct)).select("a", "b").distinct()
 
 
 def keep_first_of_group(docs: DataFrame, n: int = 5, min_similarity_pct: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
