@@ -31,7 +31,7 @@ def outcome(requests: DataFrame, blocks: DataFrame) -> DataFrame:
     latest = watermarks(blocks).select("latest")
     holes = gap_ranges(blocks).select("gap_start", "gap_end")
     stop = valid.where("code = 'OK'").join(F.broadcast(latest), F.lit(True)).join(holes, F.col("gap_end") >= F.col("first"), "left")
-    stop = stop.groupBy("req_id", "first", "end", "latest").agg(F.min(F.greatest("gap_start", "first")).alias("hole"))
+    stop = stop.groupBy("req_id", "first", "end", "latest").agg(F.min(F.when(F.col("gap_start").isNotNull(), F.greatest("gap_start", "first"))).alias("hole"))
     last = F.least(F.coalesce(F.col("hole") - 1, "latest"), "end")
     sent = stop.select("req_id", F.greatest(last - F.col("first") + 1, F.lit(0)).alias("n"), (last == F.col("end")).alias("done"))
     code = F.when(F.col("code") != "OK", F.col("code")).when(F.col("done"), "SUCCESS").otherwise("ERROR")
