@@ -73,6 +73,16 @@ def containing_ranges(points: DataFrame, ranges: DataFrame, width: int = WIDTH)
     return points.withColumn("b", bucket(F.col("n"), width)).join(pieces, "b").where("n BETWEEN gap_start AND gap_end").drop("b")
 
 
+def next_at_least(points: DataFrame, keys: DataFrame, width: int = WIDTH) -> DataFrame:
+    """n and next_key, the least k of keys at or after it (null: none), of each distinct point n."""
+    both = points.select("n", F.lit(None).cast("bigint").alias("k")).distinct().unionByName(keys.select(F.col("k").alias("n"), "k"))
+    both = both.withColumn("b", bucket(F.col("n"), width))
+    ahead = both.groupBy("b").agg(F.min("k").alias("lo"))
+    ahead = ahead.select("b", F.min("lo").over(Window.orderBy("b").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    here = F.min("k").over(Window.partitionBy("b").orderBy("n").rangeBetween(0, Window.unboundedFollowing))
+    return both.withColumn("here", here).where("k IS NULL").join(ahead, "b").select("n", F.coalesce("here", "later").alias("next_key"))
+
+
 def effective_gaps(gaps: DataFrame, start: int) -> DataFrame:
     """Gaps cut off below start; those wholly below it go."""
     return gaps.select(F.greatest("gap_start", F.lit(start).cast("bigint")).alias("gap_start"), "gap_end").where("gap_start <= gap_end")

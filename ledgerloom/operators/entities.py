@@ -34,6 +34,12 @@ def lookup(requests: DataFrame, state: DataFrame, on: str | list[str], kind: str
     return checked.join(state.withColumn("_found", F.lit(True)), on, "left").withColumn("code", F.when(F.col("_found"), "OK").otherwise(CODES[kind])).drop("_found")
 
 
+def of_kind(state: DataFrame, kind: str, column: str = "kind") -> DataFrame:
+    """state, failing where a key holds a value of another kind."""
+    wrong = F.raise_error(F.concat(F.lit(f"state inconsistency: expected {kind}, found "), F.coalesce(column, F.lit("nothing"))))
+    return state.withColumn(column, F.when(F.col(column) == kind, F.col(column)).otherwise(wrong))
+
+
 def account_info(requests: DataFrame, accounts: DataFrame) -> DataFrame:
     """A contract's account shows the hex of its alias, or 0.0.number if that is empty; others show nothing."""
     shown = F.when(F.col("smart_contract"), F.when(F.length("alias") > 0, hex_of(F.col("alias"))).otherwise(F.format_string("0.0.%d", "account_id"))).otherwise("")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.ledger import SPACING, expected, present
 from .blocks import watermarks
-from .contiguity import GAPS, gap_ranges
+from .contiguity import GAPS, gap_ranges, next_at_least
 
 #: Status codes of a subscription, and the outcome label of each way to end.
 CODES = {"SUCCESS": "completed", "INVALID_START_BLOCK_NUMBER": "invalid_request", "INVALID_END_BLOCK_NUMBER": "invalid_request", "ERROR": "timeout"}
@@ -29,9 +29,11 @@ def outcome(requests: DataFrame, blocks: DataFrame) -> DataFrame:
     and times out there; a bad request sends nothing."""
     valid = validate(requests, blocks)
     latest = watermarks(blocks).select("latest")
-    holes = gap_ranges(blocks).select("gap_start", "gap_end")
-    stop = valid.where("code = 'OK'").join(F.broadcast(latest), F.lit(True)).join(holes, F.col("gap_end") >= F.col("first"), "left")
-    stop = stop.groupBy("req_id", "first", "end", "latest").agg(F.min(F.when(F.col("gap_start").isNotNull(), F.greatest("gap_start", "first"))).alias("hole"))
+    gaps = gap_ranges(blocks).select("gap_start", "gap_end")
+    good = valid.where("code = 'OK'")
+    ahead = next_at_least(good.select(F.col("first").alias("n")), gaps.select(F.col("gap_end").alias("k"))).join(gaps, F.col("next_key") == F.col("gap_end"))
+    holes = ahead.select(F.col("n").alias("first"), F.greatest("gap_start", "n").alias("hole"))
+    stop = good.join(holes, "first", "left").join(F.broadcast(latest), F.lit(True))
     last = F.least(F.coalesce(F.col("hole") - 1, "latest"), "end")
     sent = stop.select("req_id", F.greatest(last - F.col("first") + 1, F.lit(0)).alias("n"), (last == F.col("end")).alias("done"))
     code = F.when(F.col("code") != "OK", F.col("code")).when(F.col("done"), "SUCCESS").otherwise("ERROR")

@@ -149,6 +149,19 @@ def test_entities(spark):
     assert entities.no_receipt(tx).first().code == "RECEIPT_NOT_FOUND" and entities.no_transaction_record(tx).first() == ("t1", "RECORD_NOT_FOUND")
 
 
+def test_kind_guard(spark):
+    held = spark.createDataFrame([(1, "account"), (2, "token")], "id bigint, kind string")
+    assert entities.of_kind(held.where("id = 1"), "account").count() == 1
+    with pytest.raises(Exception, match="state inconsistency"):
+        entities.of_kind(held, "account").collect()
+
+
+def test_next_at_least(spark):
+    points = spark.createDataFrame([(n,) for n in (0, 5, 9, 10, 31, 99)], "n bigint")
+    keys = spark.createDataFrame([(5,), (8,), (40,)], "k bigint")
+    assert {r.n: r.next_key for r in contiguity.next_at_least(points, keys, width=10).collect()} == {0: 5, 5: 5, 9: 40, 10: 40, 31: 40, 99: None}
+
+
 def test_token_walk(spark):
     rel = spark.createDataFrame([(1, 10, 11, True, False), (1, 11, 12, False, True), (1, 12, None, True, True)], "account bigint, token bigint, next_token bigint, kyc_granted boolean, frozen boolean")
     heads = lambda cap, head=10: spark.createDataFrame([(1, head, cap)], "account bigint, head bigint, cap bigint")
