@@ -114,3 +114,15 @@ class WordHashes(dict):
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
+
+
+def sliced(batches, column: str = "text", max_bytes: int = 3_000_000):
+    """The batches in slices of about max_bytes of column, so that what a task unpacks at once stays small."""
+    import pyarrow.compute as pc
+
+    for b in batches:
+        if b.num_rows:
+            filled = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b[column]), 0))) // max_bytes
+            edges = [0, *(np.flatnonzero(np.diff(filled)) + 1).tolist(), b.num_rows]
+            for start, stop in zip(edges[:-1], edges[1:], strict=True):
+                yield b.slice(start, stop - start)

@@ -26,7 +26,7 @@ from .common import WordHashes, id_text, mix64, summed_counters, table, task_cou
 END = b"\n"
 _END_WORD = xxhash.xxh3_64_intdigest(END)
 #: Positions handled at once, and characters of text in a chunk.
-_SLICE, CHUNK_CHARS = 1_500_000, 16_000_000
+_SLICE, CHUNK_CHARS = 1_000_000, 16_000_000
 
 
 def _bytes_of(raw: bytes) -> bytes:
@@ -54,11 +54,47 @@ def _grams(texts: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndar
 
 def _distinct_grams(texts: list[bytes], train: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct keys of the texts, and how often each occurs in training texts."""
-    keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    keys, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for of, key in _grams(texts, depth):
-        one, inverse = np.unique(key, return_inverse=True)
-        keys, counts = _merged([keys, one], [counts, np.bincount(inverse, train[of], len(one)).astype(np.int64)])
-    return keys, counts
+        flagged = np.sort((key << np.uint64(1)) | train[of].astype(np.uint64))
+        one, first = _starts(flagged >> np.uint64(1))
+        keys.append(one)
+        counts.append(np.add.reduceat((flagged & np.uint64(1)).astype(np.int64), first))
+    return _merged(keys, counts)
+
+
+def _starts(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of an ordered array, and where each starts."""
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
+    return ordered[first], first
+
+
+class Table:
+    """Values by 64-bit key, all of them looked up at once: open addressing over arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.mask = np.uint64((1 << max(4, int(2 * len(keys)).bit_length())) - 1)
+        self.keys, self.values = keys, values
+        self.slots = np.full(int(self.mask) + 1, -1, np.int64)
+        left, at = np.arange(len(keys)), mix64(keys) & self.mask
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]  # of those that meet in a slot one stays
+            left, at = self._next(left, at, self.slots[at] != left)
+
+    def _next(self, left: np.ndarray, at: np.ndarray, missed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return left[missed], (at[missed] + np.uint64(1)) & self.mask
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values of keys, all of which must be there."""
+        found = np.empty(len(keys), np.int64)
+        left, at = np.arange(len(keys)), mix64(keys) & self.mask
+        while len(left):
+            slot = self.slots[at]
+            hit = self.keys[slot] == keys[left]
+            found[left[hit]] = slot[hit]
+            left, at = self._next(left, at, ~hit)
+        return self.values[found]
 
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,9 +104,13 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 def _word_hashes(raws: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, the end of each text included, and how many each text has."""
-    split = [raw.lower().split() for raw in raws]
-    counts = np.array([len(x) + 1 for x in split], np.int64)
-    return np.fromiter((h for x in split for h in (*map(hashes.__getitem__, x), _END_WORD)), np.uint64, counts.sum()), counts
+    found, counts = [], []
+    for raw in raws:
+        words = raw.lower().split()
+        h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+        found.append(np.append(h, np.uint64(_END_WORD)))
+        counts.append(len(h) + 1)
+    return np.concatenate(found) if found else np.empty(0, np.uint64), np.array(counts, np.int64)
 
 
 def _bucket_of(keys: np.ndarray, kind: int, buckets: int, depth: int) -> np.ndarray:
@@ -132,8 +172,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A row is held out, and not learned from, if crc32(doc_id as text; null: empty) mod 10 is 0.  Null texts count as
     empty: only their end is scored.  Rows are kept as often as they occur, and counted as often.
     """
-    if not 2 <= depth <= 7:
-        raise ValueError("depth must be 2 to 7")
+    if not 2 <= depth <= 6:
+        raise ValueError("depth must be 2 to 6")
     rows = id_text(docs, id_col, text_col).withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0)
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(task_count(docs), -(-chars // chunk_chars))
@@ -179,14 +219,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out[order] = np.concatenate([np.frombuffer(told[kind, k], dtype) for k in np.unique(bucket).tolist()])
             return out
 
-        keys = np.unique(words)
-        c = values(keys, 0, np.uint32).astype(np.float64)[np.searchsorted(keys, words)]
+        keys = _starts(np.sort(words))[0]
+        c = Table(keys, values(keys, 0, np.uint32).astype(np.float64)).get(words)
         of = np.repeat(np.arange(len(raws)), sizes)
         base, known = np.bincount(of, np.log10(c + 0.1), len(raws)), np.bincount(of, c > 0, len(raws))
         keys = _distinct_grams(spelled, one, depth)[0]
-        p, total = values(keys, 1, np.float32).astype(np.float64), np.zeros(len(raws))
+        p, total = Table(keys, values(keys, 1, np.float32).astype(np.float64)), np.zeros(len(raws))
         for of, key in _grams(spelled, depth):
-            total += np.bincount(of, p[np.searchsorted(keys, key)], len(raws))
+            total += np.bincount(of, p.get(key), len(raws))
         return pa.table({"doc_id": texts["doc_id"], "held_out": texts["held_out"], "n_tokens": pa.array(sizes), "n_known": pa.array(known.astype(np.int64)), "base": pa.array(base), "score": pa.array(total / np.log(10))})
 
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))).repartition(n, "chunk")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, id_text, mix64, stored, summed_counters, table, task_count
+from .common import WordHashes, id_text, mix64, sliced, stored, summed_counters, table, task_count
 
 #: Counters of the document-frequency sketch: a fixed size, whatever the corpus.
 SKETCH = 1 << 19
@@ -47,7 +47,7 @@ def _frequencies(rows: DataFrame, n: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         hashes, counts = WordHashes(), np.zeros(SKETCH, np.int64)
-        for b in batches:
+        for b in sliced(batches):
             sets = [shingle_set(t, n, hashes) for t in b["text"].cast(pa.binary()).to_pylist()]
             if sets:
                 counts += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
@@ -65,7 +65,7 @@ def _prefixes(rows: DataFrame, n: int, pct: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, often = WordHashes(), held.value
-        for b in batches:
+        for b in sliced(batches):
             sizes, keys, tokens, splits, signatures = [], [], [], [], []
             for t in b["text"].cast(pa.binary()).to_pylist():
                 s = shingle_set(t, n, hashes)
@@ -111,7 +111,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, n: int, pct: int) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
+        for b in sliced(batches, "text_a"):
             ok = []
             for x, y in zip(b["text_a"].cast(pa.binary()).to_pylist(), b["text_b"].cast(pa.binary()).to_pylist(), strict=True):
                 x, y = shingle_set(x, n, hashes), shingle_set(y, n, hashes)

@@ -3,6 +3,7 @@
 Every word position starts a suffix; suffixes are cut at the window's length, so the internal nodes of that depth are
 exactly the repeated windows.
 
+0. A text that a smaller id has too, to the letter, is settled by its digest; the rest works on the first of each.
 1. Winnowing marks in each window one short word sequence.  A window can be repeated only if its marked sequence is;
    suffixes whose mark occurs in one document alone are leaves next to the root and are left out (no false dismissals).
 2. The other suffixes are split by prefixes of one, two or three words, as many as it takes for a group to fit in
@@ -18,24 +19,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, id_text, mix64, sha_of, summed_counters, table, task_count
+from .common import WordHashes, id_text, mix64, sha_of, sliced, summed_counters, table, task_count
 
 #: Counters for prefixes of 1, 2 and 3 words; suffixes that a group may hold.
 PREFIX_COUNTERS, GROUP_SUFFIXES = 1 << 16, 250_000
+#: Numbers that groups are known by.
+_GROUPS = 1 << 20
 _LAST = 2**63 - 1
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _words(batch: pa.RecordBatch, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the batch's texts, and how many each text has."""
-    split = [t.split() for t in batch["text"].cast(pa.binary()).to_pylist()]
+    return _hashed(batch["text"].cast(pa.binary()).to_pylist(), hashes)
+
+
+def _hashed(raws: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    split = [t.split() for t in raws]
     counts = np.array([len(x) for x in split], np.int64)
     return np.fromiter((hashes[w] for x in split for w in x), np.uint64, counts.sum()), counts
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """uid, doc_id and the text compressed: what is shuffled is stored twice."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for b in sliced(batches):
+        yield pa.RecordBatch.from_arrays([b["uid"], b["doc_id"], pa.array(map(pack, b["text"].cast(pa.binary()).to_pylist()), pa.binary())], ["uid", "doc_id", "packed"])
+
+
+def _unpacked(b: pa.RecordBatch) -> list[bytes]:
+    return list(map(zstandard.ZstdDecompressor().decompress, b["packed"].to_pylist()))
+
+
 def _paths(words: np.ndarray, at: np.ndarray, depths: list[int]) -> list[np.ndarray]:
     """For each start in at, the 64-bit path of its first d words, for each d of depths (ascending)."""
     x, out, done = np.full(len(at), _SEED), [], 0
@@ -58,13 +77,13 @@ def _marks(words: np.ndarray, counts: np.ndarray, window: int, k: int) -> tuple[
     least = grams[at]
     for j in range(1, window - k + 1):
         least = np.minimum(least, grams[at + j])
-    return at, least
+    return at, least >> np.uint64(16)  # 48 bits tell marks apart well enough: a mix-up only lets suffixes pass
 
 
 def _prefix_counts(rows: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         hashes, counts = WordHashes(), np.zeros((3, PREFIX_COUNTERS), np.int64)
-        for b in batches:
+        for b in sliced(batches):
             words, _ = _words(b, hashes)
             for d, x in enumerate(_paths(words, np.arange(max(0, len(words) - 2)), [1, 2, 3])):
                 counts[d] += np.bincount((x & np.uint64(PREFIX_COUNTERS - 1)).astype(np.int64), minlength=PREFIX_COUNTERS)
@@ -94,7 +113,7 @@ def _read(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.ndarra
 
 
 def _repeated_marks(rows: DataFrame, window: int, k: int, parts: int) -> DataFrame:
-    """uid, mark for every document and each of its marks that another document has too."""
+    """uid (of the text), mark for every text and each of its marks that another text has too."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # state 0: the only one of its task; 1: stands for a task in which it is repeated; 2: known to be repeated
@@ -110,7 +129,7 @@ def _repeated_marks(rows: DataFrame, window: int, k: int, parts: int) -> DataFra
             known = np.repeat(size > 1, size)
             return _arrow(names, np.concatenate([mark[new], mark[known]]), np.concatenate([uid[new], uid[known]]), np.concatenate([(size > 1).astype(np.int8), np.full(known.sum(), 2, np.int8)]))
 
-        for b in batches:
+        for b in sliced(batches):
             words, counts = _words(b, hashes)
             at, mark = _marks(words, counts, window, k)
             of = np.repeat(b["uid"].to_numpy(), counts)[at]
@@ -118,7 +137,7 @@ def _repeated_marks(rows: DataFrame, window: int, k: int, parts: int) -> DataFra
                 keep = np.concatenate([[True], (mark[1:] != mark[:-1]) | (of[1:] != of[:-1])])
                 marks.append(mark[keep].view(np.int64))
                 uids.append(of[keep])
-            if sum(map(len, marks)) > 4_000_000:
+            if sum(map(len, marks)) > 2_000_000:
                 yield flush()
                 marks, uids = [], []
         if marks:
@@ -135,20 +154,20 @@ def _repeated_marks(rows: DataFrame, window: int, k: int, parts: int) -> DataFra
         found = found[state[found] == 0]
         yield _arrow(["uid", "mark"], uid[found], mark[found])
 
-    sent = rows.select("uid", "text").mapInArrow(emit, "mark bigint, uid bigint, state tinyint")
+    sent = rows.select(F.col("text_id").alias("uid"), "text").mapInArrow(emit, "mark bigint, uid bigint, state tinyint")
     return sent.repartition(parts, F.when(F.col("state") == 2, F.col("uid")).otherwise(F.col("mark"))).mapInArrow(find, "uid bigint, mark bigint")
 
 
-def _repeats(texts: DataFrame, marks: DataFrame, prefix_counts: np.ndarray, window: int, k: int, parts: int) -> DataFrame:
-    """uid, oid, starts (array) of the windows that a document with a smaller id has too."""
+def _repeats(texts: DataFrame, marks: DataFrame, firsts: DataFrame, copies: DataFrame, prefix_counts: np.ndarray, window: int, k: int, parts: int) -> DataFrame:
+    """uid, found: array of (oid, starts of the windows that a document with a smaller id has too)."""
     spark = texts.sparkSession
     counts = spark.sparkContext.broadcast(prefix_counts)
     names = ["route", "path", "uid", "oid", "start"]
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, found = WordHashes(), []
-        for b in batches:
-            words, n = _words(b, hashes)
+        for b in sliced(batches, "packed", 2_000_000):
+            words, n = _hashed(_unpacked(b), hashes)
             at, mark = _marks(words, n, window, k)
             doc = np.repeat(np.arange(len(n)), n)[at]
             listed = b["marks"]
@@ -160,9 +179,9 @@ def _repeats(texts: DataFrame, marks: DataFrame, prefix_counts: np.ndarray, wind
             one, two, three, full = _paths(words, at, [1, 2, 3, window])
             c, low = counts.value, np.uint64(PREFIX_COUNTERS - 1)
             fits = [c[d][(x & low).astype(np.int64)] <= GROUP_SUFFIXES for d, x in enumerate((one, two, three))]
-            route = np.select(fits, [one, two, three], full)
+            route = mix64(np.select(fits, [one, two, three], full)) % np.uint64(_GROUPS)
             first = np.cumsum(n) - n
-            found.append([route.view(np.int64), full.view(np.int64), b["uid"].to_numpy()[doc], b["oid"].to_numpy()[doc], (at - first[doc]).astype(np.int64)])
+            found.append([route.astype(np.int64), full.view(np.int64), b["uid"].to_numpy()[doc], b["oid"].to_numpy()[doc], (at - first[doc]).astype(np.int64)])
         if not found:
             return
         route, path, uid, oid, start = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -171,6 +190,7 @@ def _repeats(texts: DataFrame, marks: DataFrame, prefix_counts: np.ndarray, wind
         size = np.diff([*new, len(order)])
         smallest = np.repeat(oid[order][new], size) == oid[order]  # of those, the first stands for the task
         sent = order[smallest]
+        sent = sent[np.lexsort((start[sent], uid[sent]))]
         yield _arrow(names, route[sent], path[sent], uid[sent], oid[sent], start[sent])
         told = order[~smallest]
         yield _arrow(names, uid[told], path[told], uid[told], oid[told], -1 - start[told])
@@ -189,10 +209,10 @@ def _repeats(texts: DataFrame, marks: DataFrame, prefix_counts: np.ndarray, wind
         bounds = pa.array(np.append(new, len(order)), pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(uid[order][new]), pa.array(oid[order][new]), pa.ListArray.from_arrays(bounds, pa.array(start[order].astype(np.int32)))], ["uid", "oid", "starts"])
 
-    lists = marks.repartition(parts, "uid").groupBy("uid").agg(F.collect_list("mark").alias("marks"))
-    sent = texts.join(lists, "uid").select("uid", _oid().alias("oid"), "text", "marks").mapInArrow(suffixes, ", ".join(f"{x} bigint" for x in names))
+    lists = marks.withColumnRenamed("uid", "text_id").groupBy("text_id").agg(F.collect_list("mark").alias("marks")).join(firsts, "text_id").select("uid", "marks")
+    sent = texts.join(lists, "uid").select("uid", _oid().alias("oid"), "packed", "marks").mapInArrow(suffixes, ", ".join(f"{x} bigint" for x in names))
     found = sent.repartition(parts, "route").mapInArrow(trees, "uid bigint, oid bigint, starts array<int>")
-    return found.repartition(parts, "uid").groupBy("uid", "oid").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    return found.unionByName(copies).groupBy("uid").agg(F.collect_list(F.struct("oid", "starts")).alias("found"))
 
 
 def _oid():
@@ -209,17 +229,23 @@ def drop_repeats(docs: DataFrame, window: int = 13, mark: int = 6, id_col: str =
     if not 3 < mark <= window:
         raise ValueError("mark must be over 3 and at most window")
     parts = task_count(docs)
-    rows = id_text(docs, id_col, text_col).withColumn("uid", F.xxhash64("doc_id", "text"))
+    rows = id_text(docs, id_col, text_col).withColumns({"uid": F.xxhash64("doc_id", "text"), "text_id": F.xxhash64("text")})
     counts = _prefix_counts(rows)
-    texts = rows.repartition(parts, "uid")
-    starts = _repeats(texts, _repeated_marks(rows, window, mark, parts), counts, window, mark, parts).withColumnsRenamed({"uid": "r_uid", "oid": "r_oid"})
+    each = rows.select("uid", "text_id", _oid().alias("oid"), F.unhex(F.md5("text")).alias("digest"))
+    first = each.groupBy("digest").agg(F.min(F.struct("oid", "uid")).alias("first"), F.min("text_id").alias("text_id"))
+    copies = each.drop("text_id").join(first, "digest").where(F.col("oid") > F.col("first.oid")).select("uid", "oid", F.array(F.lit(-1)).alias("starts")).distinct()
+    texts = rows.select("uid", "doc_id", "text").mapInArrow(_packed, "uid bigint, doc_id bigint, packed binary").repartition(parts, "uid")
+    found = _repeats(texts, _repeated_marks(rows, window, mark, parts), first.select("text_id", "first.uid"), copies, counts, window, mark, parts).withColumnRenamed("uid", "r_uid")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, "packed", 2_000_000):
             n, gone, kept = [], [], []
-            for raw, found in zip(b["text"].cast(pa.binary()).to_pylist(), b["starts"].to_pylist(), strict=True):
+            for i, raw, lists in zip(b["doc_id"].to_pylist(), _unpacked(b), b["found"].to_pylist(), strict=True):
                 words = raw.split()
-                if found:
+                found = [s for x in lists or () if x["oid"] == (_LAST if i is None else i) for s in x["starts"]]
+                if -1 in found:  # the whole text is a copy
+                    left = [] if len(words) >= window else words
+                elif found:
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, found, 1)
                     np.add.at(edge, np.asarray(found) + window, -1)
@@ -232,8 +258,8 @@ def drop_repeats(docs: DataFrame, window: int = 13, mark: int = 6, id_col: str =
                 kept.append(b" ".join(left))
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    both = texts.join(starts, (texts["uid"] == starts["r_uid"]) & (_oid() == starts["r_oid"]), "left")
-    return both.select("doc_id", "text", "starts").mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+    both = texts.join(found, texts["uid"] == found["r_uid"], "left")
+    return both.select("doc_id", "packed", "found").mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
