@@ -22,7 +22,9 @@ from .common import summed_counters, table, id_text
 VOCABULARY = 1 << 18
 #: Benchmark passages that are held in memory at once; more are searched in blocks.
 BLOCK_PASSAGES = 20_000
-WINDOW, STRIDE, PASSAGE = 24, 8, 64
+PASSAGE = 64
+#: Words of a window; a passage is sought with the largest that is at most twice as long.  Windows start every third of that.
+WINDOWS = (3, 6, 12, 24)
 _STRIP = b".,;:!?\"'()[]{}<>|*#&%$`~_-"
 
 
@@ -168,7 +170,7 @@ def find_leaks(
 ) -> DataFrame:
     """doc_id, item_id, cosine, lcs, weighted_lcs, answer of every document and benchmark item it contains, or paraphrases.
 
-    A window of 24 words is compared if min_share of its squared weight lies in the benchmark's vocabulary; a passage is
+    A window of 24 words (less for passages under 12 words) is compared if min_share of its squared weight lies in the benchmark's vocabulary; a passage is
     a candidate from a latent cosine of min_cosine.  It leaks if the text around the window holds, in order, min_lcs of
     its words, min_weighted of their weight, and min_answer of the words of its answer: answer_col, or, where a benchmark
     names none, the last third of the passage.  Items of over 64 words are compared in overlapping passages, any of which
@@ -206,43 +208,47 @@ def _searcher(block, space, min_share: float, min_cosine: float, min_lcs: float,
         passages = block.value
         latent = np.stack([(idf[p][:, None] * axes[place[p]]).sum(0) for _, p, _ in passages])
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+        by_window = {}
+        for j, (_, p, _) in enumerate(passages):
+            by_window.setdefault(window_for(len(p)), []).append(j)
         terms = Terms()
         for b in batches:
             ids = [term_ids(raw, terms) for raw in b["text"].cast(pa.binary()).to_pylist()]
             sizes = np.array([len(x) for x in ids], np.int64)
             word = np.concatenate(ids) if len(ids) else np.empty(0, np.int32)
-            start, doc = _windows(sizes)
             ends = np.cumsum(sizes)
             row, weight = place[word], idf[word]
             both, inside = (np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)]) for x in (weight**2, np.where(row >= 0, weight**2, 0.0)))
-            stop = np.minimum(start + WINDOW, ends[doc])
-            open_ = np.flatnonzero(inside[stop] - inside[start] >= min_share * (both[stop] - both[start]))
             best: dict[tuple[int, int], tuple] = {}
             tried: set[tuple[int, int, int]] = set()
-            for a in range(0, len(open_), 4096):
-                part = open_[a : a + 4096]
-                at = np.minimum(start[part, None] + np.arange(WINDOW), len(word) - 1)
-                use = (np.arange(WINDOW) < (stop - start)[part, None]) & (row[at] >= 0)
-                x = np.einsum("ij,ijk->ik", np.where(use, weight[at], 0.0).astype(np.float32), axes[np.where(use, row[at], 0)])
-                cosine = (x @ latent.T) / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
-                for i, j in zip(*np.nonzero(cosine >= min_cosine), strict=True):
-                    w, (item, passage, answer) = part[i], passages[j]
-                    d = int(doc[w])
-                    first, last = int(ends[d] - sizes[d]), int(ends[d])
-                    around = len(passage) + len(passage) // 2
-                    spot = (d, int(j), int(start[w] - first) // around)
-                    if spot in tried:
-                        continue
-                    tried.add(spot)
-                    near = first + spot[2] * around
-                    region = word[max(first, near - around) : min(last, near + 2 * around + WINDOW)]
-                    held = np.isin(passage, region)  # bounds the subsequence from above
-                    if held.mean() < min_lcs or idf[passage][held].sum() < min_weighted * idf[passage].sum():
-                        continue
-                    lcs, weighted, told = _judge(passage, answer, region, idf)
-                    if lcs >= min_lcs and weighted >= min_weighted and told >= min_answer:
-                        new = (lcs, weighted, told, float(cosine[i, j]))
-                        best[d, item] = max(best.get((d, item), new), new)
+            for width, sought in by_window.items():
+                start, doc = _windows(sizes, width)
+                stop = np.minimum(start + width, ends[doc])
+                open_ = np.flatnonzero(inside[stop] - inside[start] >= min_share * (both[stop] - both[start]))
+                for a in range(0, len(open_), 4096):
+                    part = open_[a : a + 4096]
+                    at = np.minimum(start[part, None] + np.arange(width), len(word) - 1)
+                    use = (np.arange(width) < (stop - start)[part, None]) & (row[at] >= 0)
+                    x = np.einsum("ij,ijk->ik", np.where(use, weight[at], 0.0).astype(np.float32), axes[np.where(use, row[at], 0)])
+                    cosine = (x @ latent[sought].T) / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+                    for i, j in zip(*np.nonzero(cosine >= min_cosine), strict=True):
+                        w, (item, passage, answer) = part[i], passages[sought[j]]
+                        d = int(doc[w])
+                        first, last = int(ends[d] - sizes[d]), int(ends[d])
+                        around = len(passage) + len(passage) // 2
+                        spot = (d, sought[j], int(start[w] - first) // around)
+                        if spot in tried:
+                            continue
+                        tried.add(spot)
+                        near = first + spot[2] * around
+                        region = word[max(first, near - around) : min(last, near + 2 * around + width)]
+                        held = np.isin(passage, region)  # bounds the subsequence from above
+                        if held.mean() < min_lcs or idf[passage][held].sum() < min_weighted * idf[passage].sum():
+                            continue
+                        lcs, weighted, told = _judge(passage, answer, region, idf)
+                        if lcs >= min_lcs and weighted >= min_weighted and told >= min_answer:
+                            new = (lcs, weighted, told, float(cosine[i, j]))
+                            best[d, item] = max(best.get((d, item), new), new)
             doc_ids = b["doc_id"].to_pylist()
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array([doc_ids[d] for d, _ in best], pa.int64()), "item_id": pa.array([i for _, i in best], pa.int64()),
@@ -252,12 +258,17 @@ def _searcher(block, space, min_share: float, min_cosine: float, min_lcs: float,
     return search
 
 
-def _windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def window_for(passage_words: int) -> int:
+    return max((w for w in WINDOWS if w <= 2 * passage_words), default=WINDOWS[0])
+
+
+def _windows(sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the windows of texts laid end to end, the last of each reaching its end, and their texts."""
-    counts = np.where(sizes > 0, 1 + np.maximum(0, -(-(sizes - WINDOW) // STRIDE)), 0)
+    stride = width // 3
+    counts = np.where(sizes > 0, 1 + np.maximum(0, -(-(sizes - width) // stride)), 0)
     doc = np.repeat(np.arange(len(sizes)), counts)
     number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    return (np.cumsum(sizes) - sizes)[doc] + number * STRIDE, doc
+    return (np.cumsum(sizes) - sizes)[doc] + number * stride, doc
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
