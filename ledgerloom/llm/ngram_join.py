@@ -163,7 +163,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        if edges.join(edges.select(F.col("b").alias("x")).distinct(), F.col("a") == F.col("x"), "left_semi").isEmpty():
+        split = edges.groupBy("a").count().where("count > 1")  # a node with two roots: its component is not one star yet
+        if split.isEmpty() and edges.join(edges.select(F.col("b").alias("x")).distinct(), F.col("a") == F.col("x"), "left_semi").isEmpty():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
