@@ -102,9 +102,9 @@ def upsert(writes: DataFrame) -> DataFrame:
     return last.select("block_number", F.col("w.item_order.l_partkey").alias("part"), F.col("w.item_order.l_suppkey").alias("session"))
 
 
-def requests_for_status(spark: SparkSession, d: str) -> DataFrame:
-    """Every 97th number to past the end, and the other forms of request."""
-    n = expected(spark, d).where(F.col("block_number") % SPACING == 0)
+def requests_for_status(spark: SparkSession, d: str, spacing: int = SPACING) -> DataFrame:
+    """Numbers to past the end (spacing 1: every block, else those it divides), and the other forms of request."""
+    n = expected(spark, d).where(F.col("block_number") % spacing == 0)
     numbers = n.select(F.col("block_number").alias("req_id"), "block_number").unionByName(n.select((F.col("block_number") + 1_000_000_000).alias("req_id"), (F.col("block_number") + 1_000_000_000).alias("block_number")))
     rows = [(-1, -1, None), (-2, None, True), (-3, None, False), (-4, None, None)]
     return numbers.withColumn("retrieve_latest", F.lit(None).cast("boolean")).unionByName(spark.createDataFrame(rows, "req_id bigint, block_number bigint, retrieve_latest boolean"))
@@ -118,12 +118,14 @@ QUERIES = {
     "block_point_lookup": lambda s, d: point_lookup(expected(s, d), 42),
     "cold_point_lookup": lambda s, d: cold_lookup(tiers(expected(s, d))[1], 123),
     "tiered_read": lambda s, d: tiered_read(_spaced(s, d), *tiers(present(s, d))),
+    "tiered_read_all": lambda s, d: tiered_read(expected(s, d).select("block_number"), *tiers(present(s, d))),
     "all_blocks_union": lambda s, d: all_blocks(*tiers(present(s, d))),
     "strict_batch_read": lambda s, d: strict_batch_read(expected(s, d), 100, 10).select("block_number"),
     "historical_range": lambda s, d: historical_range(present(s, d), 2, 180),
     "latest_block": lambda s, d: expected(s, d).orderBy(F.desc("block_number")).limit(1),
     "server_status": lambda s, d: server_status(present(s, d)),
     "get_block_status": lambda s, d: block_status(requests_for_status(s, d), present(s, d)),
+    "get_block_status_all": lambda s, d: block_status(requests_for_status(s, d, 1), present(s, d)),
     "block_header_number": lambda s, d: header_number(items(s, d)),
     "block_assembly": lambda s, d: assemble_blocks(items(s, d)),
     "hot_upsert": lambda s, d: upsert(items(s, d)),
@@ -151,3 +153,5 @@ SQL = {
     "hot_upsert": """SELECT l_orderkey AS block_number, l_partkey AS part, l_suppkey AS session FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey
         ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC) AS r FROM lineitem) WHERE r = 1""",
 }
+#: The same over every block.
+SQL |= {f"{k}_all": SQL[k].replace(f" WHERE o_orderkey % {SPACING} = 0", "") for k in ("tiered_read", "get_block_status")}

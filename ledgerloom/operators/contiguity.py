@@ -79,7 +79,7 @@ def next_at_least(points: DataFrame, keys: DataFrame, width: int = WIDTH) -> Dat
     both = both.withColumn("b", bucket(F.col("n"), width))
     ahead = both.groupBy("b").agg(F.min("k").alias("lo"))
     ahead = ahead.select("b", F.min("lo").over(Window.orderBy("b").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
-    here = F.min("k").over(Window.partitionBy("b").orderBy("n").rangeBetween(0, Window.unboundedFollowing))
+    here = F.min("k").over(Window.partitionBy("b").orderBy(F.desc("n")).rangeBetween(Window.unboundedPreceding, 0))
     return both.withColumn("here", here).where("k IS NULL").join(ahead, "b").select("n", F.coalesce("here", "later").alias("next_key"))
 
 
@@ -102,6 +102,7 @@ QUERIES = {
     "interval_merge": lambda s, d: merge_intervals(_user_ranges(s, d), "k"),
     "interval_split": lambda s, d: split_intervals(gap_ranges(present(s, d)).select(F.col("gap_start").alias("s"), F.col("gap_end").alias("e")), expected(s, d).where("block_number % 2 = 0").select(F.col("block_number").alias("n"))),
     "gap_contains": lambda s, d: containing_ranges(expected(s, d).where("block_number % 3 = 0").select(F.col("block_number").alias("n")), gap_ranges(present(s, d)).drop("gap_length")),
+    "gap_contains_all": lambda s, d: containing_ranges(expected(s, d).select(F.col("block_number").alias("n")), gap_ranges(present(s, d)).drop("gap_length")),
     "gap_effective": lambda s, d: effective_gaps(gap_ranges(present(s, d)), 500),
 }
 P = "p AS (SELECT DISTINCT l_orderkey AS n FROM lineitem)"
@@ -122,3 +123,5 @@ SQL = {
     "gap_contains": f"WITH {GAPS} SELECT o_orderkey AS n, gap_start, gap_end FROM orders JOIN g ON o_orderkey BETWEEN gap_start AND gap_end WHERE o_orderkey % 3 = 0",
     "gap_effective": f"WITH {GAPS} SELECT greatest(gap_start, 500) AS gap_start, gap_end FROM g WHERE gap_end >= 500",
 }
+#: The same over every block.
+SQL["gap_contains_all"] = SQL["gap_contains"].replace(" WHERE o_orderkey % 3 = 0", "")
