@@ -1,7 +1,9 @@
 """Secret scan: rules for known forms, then zstandard novelty for the rest.
 
-A candidate is a run of 16 or more key-like characters with a sensitive word near it.  Its novelty is the number of
-compressed bytes it adds, per character, to its surrounding text, with an identifier dictionary primed.  Names, words and
+A candidate is a run of 16 or more key-like characters with a sensitive word near it, or one that only separators (line
+ends, dots, quotes) part from such a candidate: the lines of a key, the parts of a token.  Its novelty is the number of
+compressed bytes it adds, per character, to the text around it and the parts joined to it, with an identifier dictionary
+primed.  Names, words and
 placeholders are predicted by text and dictionary; random keys are not, and are reported.
 """
 
@@ -26,6 +28,9 @@ FORMS = [
 KINDS = ["assign", "access", "hex", "novel"]
 SENSITIVE = re.compile(r"pass(?:word|wd|phrase)?\b|secret|token|api[_-]?key|auth|credential|private|bearer|access[_-]?key|signature|licen[sc]e[_-]?key", _FLAGS)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: What may stand between two parts of one secret (a backslash: of an escaped line end), and a key's last line, if short.
+SEPARATORS = re.compile(r"""[\s."'\\]+""", re.ASCII)
+LAST_LINE = re.compile(r"""[\s"'\\]+([A-Za-z0-9+/=]{1,15})(?=[\s"'\\n]*-----END)""", re.ASCII)
 #: Names that code and settings are full of; primes the compressor.
 IDENTIFIERS = (
     "import from return self class function const let var public private static final string value default none true false null "
@@ -51,15 +56,27 @@ def marginal_bytes(compressor, around: str, candidate: str) -> int:
 def spans_of(text: str, compressor, novelty: float, context: int, near: int) -> list[tuple[int, int, int]]:
     """(start, place of the kind, end), sorted; code points, end exclusive."""
     base = [(m.start(), i, m.end()) for i, (_, form, group, least) in enumerate(FORMS) for m in form.finditer(text) if m.end(group) - m.start(group) >= least]
-    found = []
+    # chains of candidates in sensitive context: [start, place of the kind or -1 for one that a form has, end] of each
+    chains, last = [], None
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        if any(x < e and s < y for x, _, y in base):
-            continue
-        if not SENSITIVE.search(text, max(0, s - near), s) and not SENSITIVE.search(text, e, e + near // 2):
+        over = [(i, y) for x, i, y in base if x < e and s < y]
+        carried = last is not None and (s <= last or SEPARATORS.fullmatch(text, last, s))
+        if not (carried or any(i < 2 for i, _ in over) or SENSITIVE.search(text, max(0, s - near), s) or SENSITIVE.search(text, e, e + near // 2)):
+            last = None
             continue
-        if marginal_bytes(compressor, text[max(0, s - context) : s] + text[e : e + context], m[0]) >= novelty * (e - s):
-            found.append((s, 3, e))
+        if not carried:
+            chains.append([])
+        chains[-1].append((s, -1 if over else 3, e))
+        last = max([e, *(y for _, y in over)])
+    found = []
+    for chain in chains:
+        around = text[max(0, chain[0][0] - context) : chain[0][0]] + text[chain[-1][2] : chain[-1][2] + context]
+        new = [(s, k, e) for s, k, e in chain if k == 3 and marginal_bytes(compressor, around, text[s:e]) >= novelty * (e - s)]
+        found += new
+        s, _, e = chain[-1]
+        if (new and new[-1][2] == e or chain[-1][1] < 0) and (m := LAST_LINE.match(text, e)):
+            found.append((m.start(1), 3, m.end(1)))  # too short to be measured
     return sorted(base + found)
 
 
