@@ -51,8 +51,14 @@ def tail(blocks: DataFrame, start: int) -> DataFrame:
     return blocks.where(F.col("block_number") >= start)
 
 
-def deduplicated(events: DataFrame, keys: list[str], ts: str = "ts", delay: str = "1 day") -> DataFrame:
-    """The first event of each key; state is kept for delay behind the latest time."""
+def deduplicated(events: DataFrame, keys: list[str], ts: str = "ts", delay: str | None = None) -> DataFrame:
+    """One event of each key, the first to come, whatever the order and number of micro-batches; the state is the keys.
+
+    With a delay state is kept for that long behind the latest time only, for input that comes in order of time: older
+    events are dropped as late, and a key that comes again after its state has gone is given again.
+    """
+    if delay is None:
+        return events.dropDuplicates(keys)
     return events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay).dropDuplicatesWithinWatermark(keys).drop("_ts")
 
 
