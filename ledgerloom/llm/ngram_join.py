@@ -109,6 +109,14 @@ def _verified(pairs: DataFrame, rows: DataFrame, n: int, pct: int) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(held.value[_bit(b["id"].to_numpy())], pa.bool_()))
 
+    texts = rows.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text").mapInArrow(wanted, "id bigint, text string")
+    a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    return _compared(pairs.join(a, "a").join(b, "b"), n, pct, "bigint").distinct()
+
+
+def _compared(pairs: DataFrame, n: int, pct: int, kind: str) -> DataFrame:
+    """Those of pairs (a, b, text_a, text_b) whose texts have sets that are similar enough; kind: the type of a and b."""
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in sliced(batches, "text_a"):
@@ -118,9 +126,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, n: int, pct: int) -> DataFrame:
                 ok.append((100 + pct) * len(np.intersect1d(x, y, assume_unique=True)) >= pct * (len(x) + len(y)) > 0)
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    texts = rows.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text").mapInArrow(wanted, "id bigint, text string")
-    a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a bigint, b bigint").distinct()
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(verify, f"a {kind}, b {kind}")
 
 
 def _bit(ids: np.ndarray) -> np.ndarray:
@@ -169,12 +175,12 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def ngram_groups(docs: DataFrame, n: int = 5, min_similarity_pct: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, n_links and component_id of every row.
+    """doc_id, n_shingles, n_verified and component_id of every row.
 
     Two documents link if 100 * |intersection| >= min_similarity_pct * |union| of their sets of n-word shingles (A-Z
-    lower-cased).  component_id is the smallest doc_id reachable, the document's own included.  n_links counts the
-    verified links of the document's class; links between documents already connected need not be among them, but no
-    component lacks one.  Documents without words, and rows without an id, link with nothing (component_id: their id).
+    lower-cased).  component_id is the smallest doc_id reachable, the document's own included.  n_verified counts
+    the links of the document's class that were verified for that: links between documents already connected need not be
+    among them, but no component lacks one; ngram_links and link_counts have them all.  Documents without words, and rows without an id, link with nothing (component_id: their id).
     Rows are kept as often as they occur; a repeated id stands for all its texts.
     """
     if not 1 <= min_similarity_pct <= 100 or n < 1:
@@ -216,15 +222,66 @@ def ngram_groups(docs: DataFrame, n: int = 5, min_similarity_pct: int = 80, id_c
         roots = components(links)
 
     of_class = classes.select("key", "rep").join(roots, classes["rep"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("component_id"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    of_class = of_class.join(degree, "rep", "left").select("key", "component_id", "n_links")
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_verified"))
+    of_class = of_class.join(degree, "rep", "left").select("key", "component_id", "n_verified")
     return (
         sets.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key"))
         .join(of_class, "key", "left")
-        .select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        .select("doc_id", "n_shingles", F.coalesce("n_verified", F.lit(0)).alias("n_verified"), F.coalesce("component_id", "doc_id").alias("component_id"))
     )
 
 
+def _class_links(rows: DataFrame, n: int, pct: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key) of every row with an id and words, and the links (a, b; a < b) between all classes, by their keys.
+
+    Every candidate pair is verified, once.  A list's parts are joined two by two, so no task has a long list whole.
+    """
+    linked = stored(_prefixes(rows, n, pct), "prefixes").where("key IS NOT NULL AND doc_id IS NOT NULL")
+    classes = stored(linked.groupBy("key").agg(F.first(F.struct(F.col("n_shingles").alias("n"), "signature", "tokens", "splits")).alias("c")).select("key", "c.*"), "classes")
+    entries = classes.select("key", "n", F.posexplode(F.arrays_zip("tokens", "splits")).alias("pos", "x")).select("key", "n", "pos", F.col("x.tokens").alias("token"), F.col("x.splits").alias("splits"))
+    entries = entries.withColumn("part", F.pmod(F.xxhash64("key"), "splits").cast("int"))
+    a, b = (entries.select("token", F.col("part").alias(at), F.explode(others).alias(other), F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("pos").alias(f"pos_{x}")) for x, at, other, others in (("a", "p", "q", F.expr("sequence(part, splits - 1)")), ("b", "q", "p", F.expr("sequence(0, part)"))))
+    alpha = F.ceil(pct * (F.col("n_a") + F.col("n_b")) / (100 + pct))
+    fits = (pct * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")) & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= alpha)
+    pairs = a.join(b, ["token", "p", "q"]).where(((F.col("p") < F.col("q")) | (F.col("a") < F.col("b"))) & fits)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = stored(_suffix_filtered(pairs, classes.withColumnRenamed("key", "rep"), pct), "pairs")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in sliced(batches):
+            keys = [xxhash.xxh3_128_digest(shingle_set(t, n, hashes).tobytes()) for t in b["text"].cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b["text"]], ["key", "text"])
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    texts = stored(rows.where("doc_id IS NOT NULL").select("text").mapInArrow(keyed, "key binary, text string").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "texts")
+    a, b = (texts.select(F.col("key").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    return linked.select("doc_id", "key"), stored(_compared(pairs.join(a, "a").join(b, "b"), n, pct, "binary"), "links")
+
+
+def ngram_links(docs: DataFrame, n: int = 5, min_similarity_pct: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """a and b (a < b) of every two ids that link as in ngram_groups, once, those with equal sets too.
+
+    The result is as long as there are links: m(m - 1)/2 for m similar documents; link_counts only counts.
+    """
+    members, links = _class_links(id_text(docs, id_col, text_col), n, min_similarity_pct)
+    members = members.distinct()
+    x, y = (members.select(F.col("doc_id").alias(f"id_{k}"), F.col("key").alias(k)) for k in "ab")
+    same = x.join(y, F.col("a") == F.col("b"))
+    both = links.join(x, "a").join(y, "b").select("id_a", "id_b").unionByName(same.select("id_a", "id_b"))
+    return both.where("id_a != id_b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
+def link_counts(docs: DataFrame, n: int = 5, min_similarity_pct: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and n_links of every row with an id and words: how many other such rows it links with, copies included."""
+    members, links = _class_links(id_text(docs, id_col, text_col), n, min_similarity_pct)
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    ends = links.select(F.col("a").alias("of"), F.col("b").alias("key")).unionByName(links.select(F.col("b").alias("of"), F.col("a").alias("key")))
+    others = ends.join(sizes, "key").groupBy(F.col("of").alias("key")).agg(F.sum("size").alias("others"))
+    counts = sizes.join(others, "key", "left").select("key", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return members.join(counts, "key").select("doc_id", "n_links")
+
+
 def _suffix_filtered(pairs: DataFrame, classes: DataFrame, pct: int) -> DataFrame:
     """Without pairs whose shingles, counted by their leading bits, cannot overlap enough."""
     a, b = (classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}")) for x in "ab")
@@ -240,7 +297,7 @@ def keep_first_of_group(docs: DataFrame, n: int = 5, min_similarity_pct: int = 8
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_groups(table(spark, sf_dir, "documents"), n=3, min_similarity_pct=90).drop("n_links")
+    return ngram_groups(table(spark, sf_dir, "documents"), n=3, min_similarity_pct=90).drop("n_verified")
 
 
 SQL = r"""
