@@ -109,8 +109,10 @@ def summed_counters(rows: DataFrame, count, size: int, slices: int = 32) -> np.n
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
+    limit = 300_000
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > self.limit:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

@@ -5,9 +5,16 @@ of up to ``depth`` preceding bytes.  It is retained if its next-byte counts dive
 longest retained suffix; its distribution is that prediction smoothed into its own counts (Witten-Bell).  A byte is
 scored by the longest retained suffix of what precedes it.
 
-Texts are dealt to chunks.  Each chunk sends its distinct words and byte n-grams with their training counts to buckets
-by key; n-grams are bucketed by their nearest two context bytes, so that a bucket holds whole subtrees.  The buckets
-return word counts and n-gram probabilities to the chunks that asked.  Neither words nor tree pass through the driver.
+1. Texts are packed, in pieces of about half a million bytes at most, into chunks of bounded size, written once.
+2. Each chunk asks for its distinct words and byte n-grams, with their training counts, in one message a bucket.  There
+   are at most 4,096 buckets for each of the two, so messages grow with the chunks and not with their square.  N-grams
+   go by their nearest four context bytes, so that the deep contexts of a bucket are whole subtrees and no bucket holds
+   more than those of some four-byte contexts.
+3. Messages are added up by (bucket, salt), then by bucket; a salt has at most 4,096 chunks.
+4. The contexts of up to three bytes are a small table of their own, joined to the buckets, where the deeper ones follow.
+5. The buckets answer each message with the counts or probabilities of its keys, and a chunk's texts are scored by them.
+
+Neither words nor tree pass through the driver; it sees 256 x 256 counts and two sums.
 """
 
 from __future__ import annotations
@@ -17,50 +24,122 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, id_text, mix64, summed_counters, table, task_count
+from .common import WordHashes, id_text, mix64, sliced, stored, table
 
 #: The end of a text, and what precedes its start; no word has this byte.
 END = b"\n"
 _END_WORD = xxhash.xxh3_64_intdigest(END)
-#: Positions handled at once, and characters of text in a chunk.
-_SLICE, CHUNK_CHARS = 1_000_000, 16_000_000
-
-
-def _bytes_of(raw: bytes) -> bytes:
-    return b" ".join(raw.lower().split()) + END
-
-
-def _grams(texts: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For slices of the texts: the text of each byte, and its key: nearest context byte first, the byte itself last."""
-    at = 0
-    while at < len(texts):
-        size, stop = 0, at
-        while stop < len(texts) and (stop == at or size < _SLICE):
-            size += len(texts[stop])
-            stop += 1
-        lengths = np.array([len(t) for t in texts[at:stop]])
-        buffer = np.frombuffer(b"".join(END * depth + t for t in texts[at:stop]), np.uint8)
-        of = np.repeat(np.arange(at, stop), lengths)
-        place = np.arange(lengths.sum()) + depth * (of - at + 1)
-        key = np.zeros(len(place), np.uint64)
-        for back in range(1, depth + 1):
-            key = (key << np.uint64(8)) | buffer[place - back]
-        yield of, (key << np.uint64(8)) | buffer[place]
-        at = stop
-
-
-def _distinct_grams(texts: list[bytes], train: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct keys of the texts, and how often each occurs in training texts."""
-    keys, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for of, key in _grams(texts, depth):
-        flagged = np.sort((key << np.uint64(1)) | train[of].astype(np.uint64))
-        one, first = _starts(flagged >> np.uint64(1))
-        keys.append(one)
-        counts.append(np.add.reduceat((flagged & np.uint64(1)).astype(np.int64), first))
-    return _merged(keys, counts)
+#: Bytes handled at once (and about the largest piece of a text), and bytes of text in a chunk.
+_SLICE, CHUNK_CHARS = 500_000, 32_000_000
+#: Most buckets of a kind, and most chunks of a salt.
+_BUCKETS, _SALT_CHUNKS = 4_096, 4_096
+#: Kinds of keys.
+_WORDS, _GRAMS = 0, 1
+#: Context bytes of the table of short contexts.
+_SHORT = 3
+
+
+def _pieces(raw: bytes, depth: int, size: int) -> Iterator[tuple[bytes, bytes]]:
+    """What precedes each piece of the text (depth bytes), and the piece; cuts follow a space."""
+    text, at, lead = b" ".join(raw.lower().split()) + END, 0, END * depth
+    while at < len(text):
+        cut = len(text) if len(text) - at <= size else text.find(b" ", at + size) + 1 or len(text)
+        yield lead, text[at:cut]
+        lead, at = (lead + text[at:cut])[-depth:], cut
+
+
+def _chunks(rows: DataFrame, depth: int, chunk_chars: int) -> DataFrame:
+    """chunk; row, doc, held and size of each of its pieces; blob: the pieces with what precedes them, compressed."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, filled, found = TaskContext.get().partitionId(), 0, 0, []
+        shut = zstandard.ZstdCompressor(level=3).compress
+
+        def flush() -> pa.RecordBatch:
+            row, doc, held, lead, body = zip(*found, strict=True)
+            blob = shut(b"".join(x for pair in zip(lead, body, strict=True) for x in pair))
+            columns = {"row": (row, pa.int64()), "doc": (doc, pa.int64()), "held": (held, pa.bool_()), "size": (list(map(len, body)), pa.int32())}
+            listed = [pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.array(x, kind)) for x, kind in columns.values()]
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + n]), *listed, pa.array([blob], pa.binary())], ["chunk", *columns, "blob"])
+
+        for b in sliced(batches):
+            for doc, raw, held in zip(b["doc_id"].to_pylist(), b["text"].cast(pa.binary()).to_pylist(), b["held_out"].to_pylist(), strict=True):
+                n += 1
+                for lead, body in _pieces(raw, depth, min(_SLICE, chunk_chars)):
+                    found.append(((part << 32) + n, doc, held, lead, body))
+                    filled += len(body)
+                    if filled >= chunk_chars:
+                        yield flush()
+                        n, filled, found = n + 1, 0, []
+        if found:
+            yield flush()
+
+    return rows.mapInArrow(pack, "chunk bigint, row array<bigint>, doc array<bigint>, held array<boolean>, size array<int>, blob binary")
+
+
+class Chunk:
+    """A chunk unpacked."""
+
+    def __init__(self, chunks: pa.Table | pa.RecordBatch, i: int, depth: int):
+        self.blob, self.depth = zstandard.ZstdDecompressor().decompress(chunks["blob"][i].as_py()), depth
+        self.row, self.doc, self.held, self.size = (chunks[c][i].values for c in ("row", "doc", "held", "size"))
+        self.sizes = self.size.to_numpy().astype(np.int64)
+        self.ends = np.cumsum(self.sizes + depth)
+
+    def words(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """In slices: the piece of each token, the end of each text included, and its hash."""
+        hashes = WordHashes()
+        hashes.limit = 100_000
+        for at, stop in self.slices():
+            found, counts = [], []
+            for end, size in zip(self.ends[at:stop].tolist(), self.sizes[at:stop].tolist(), strict=True):
+                words = self.blob[end - size : end].split()
+                h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+                found.append(np.append(h, np.uint64(_END_WORD)) if self.blob[end - 1 : end] == END else h)
+                counts.append(len(found[-1]))
+            yield np.repeat(np.arange(at, stop), counts), np.concatenate(found)
+
+    def slices(self) -> Iterator[tuple[int, int]]:
+        """Ranges of pieces of about _SLICE bytes."""
+        at = 0
+        while at < len(self.sizes):
+            start = int(self.ends[at] - self.sizes[at] - self.depth)
+            stop = max(at + 1, int(np.searchsorted(self.ends, start + _SLICE, "right")))
+            yield at, stop
+            at = stop
+
+    def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """In slices: the piece of each byte, and its key: nearest context byte first, the byte itself last."""
+        depth, eight = self.depth, np.uint64(8)
+        for at, stop in self.slices():
+            start = int(self.ends[at] - self.sizes[at] - depth)
+            part = np.frombuffer(self.blob, np.uint8, int(self.ends[stop - 1]) - start, start)
+            n = len(part) - depth
+            key = part[depth - 1 : depth - 1 + n].astype(np.uint64)
+            for back in range(2, depth + 2):  # the last is the byte itself
+                key <<= eight
+                key |= part[depth - back : depth - back + n] if back <= depth else part[depth:]
+            of = np.repeat(np.arange(at, stop), self.sizes[at:stop])
+            yield of, key[np.arange(len(of)) + depth * (of - at)]
+
+    def distinct(self, slices: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted distinct keys of all slices, and how often each occurs in training texts; a bounded part at once."""
+        train = ~np.asarray(self.held.to_numpy(zero_copy_only=False), bool)
+        keys, counts, waiting = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+        for of, key in slices:
+            parts = [_starts(np.sort(key[train[of]])), _starts(np.sort(key[~train[of]]))]
+            keys += [parts[0][0], parts[1][0]]
+            counts += [np.diff(parts[0][1], append=train[of].sum()), np.zeros(len(parts[1][0]), np.int64)]
+            waiting += len(keys[-1]) + len(keys[-2])
+            if waiting > _SLICE:
+                (key, count), waiting = _merged(keys, counts), 0
+                keys, counts = [key], [count]
+        return _merged(keys, counts)
 
 
 def _starts(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,13 +148,21 @@ def _starts(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[first], first
 
 
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their summed counts, exactly."""
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key)
+    found, first = _starts(key[order])
+    return found, np.add.reduceat(count[order], first) if len(found) else np.empty(0, np.int64)
+
+
 class Table:
     """Values by 64-bit key, all of them looked up at once: open addressing over arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.mask = np.uint64((1 << max(4, int(2 * len(keys)).bit_length())) - 1)
         self.keys, self.values = keys, values
-        self.slots = np.full(int(self.mask) + 1, -1, np.int64)
+        self.slots = np.full(int(self.mask) + 1, -1, np.int32)
         left, at = np.arange(len(keys)), mix64(keys) & self.mask
         while len(left):
             free = self.slots[at] < 0
@@ -87,7 +174,7 @@ class Table:
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """Values of keys, all of which must be there."""
-        found = np.empty(len(keys), np.int64)
+        found = np.empty(len(keys), np.int32)
         left, at = np.arange(len(keys)), mix64(keys) & self.mask
         while len(left):
             slot = self.slots[at]
@@ -97,146 +184,214 @@ class Table:
         return self.values[found]
 
 
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    return found, np.bincount(inverse, np.concatenate(counts), len(found)).astype(np.int64)
+def _shut(x: np.ndarray) -> bytes:
+    """An array's bytes by significance, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+
 
+def _open(b: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
-def _word_hashes(raws: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, the end of each text included, and how many each text has."""
-    found, counts = [], []
-    for raw in raws:
-        words = raw.lower().split()
-        h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-        found.append(np.append(h, np.uint64(_END_WORD)))
-        counts.append(len(h) + 1)
-    return np.concatenate(found) if found else np.empty(0, np.uint64), np.array(counts, np.int64)
+
+def _shut_keys(ordered: np.ndarray) -> bytes:
+    return _shut(np.diff(ordered, prepend=np.uint64(0)))
+
+
+def _open_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(_open(b, np.uint64), dtype=np.uint64)
 
 
 def _bucket_of(keys: np.ndarray, kind: int, buckets: int, depth: int) -> np.ndarray:
-    by = keys >> np.uint64(8 * (depth - 1)) if kind else keys
+    by = keys >> np.uint64(8 * (depth + 1 - min(depth, _SHORT + 1))) if kind == _GRAMS else keys
     return (mix64(by) % np.uint64(buckets)).astype(np.int64)
 
 
-def first_order(rows: DataFrame, depth: int) -> tuple[np.ndarray, int]:
-    """Counts of (preceding byte, byte) in training texts, 256 x 256, and the number of training tokens."""
+def _shorter(keys: np.ndarray, depth: int, d: int) -> np.ndarray:
+    """Keys of depth context bytes as keys of the nearest d."""
+    return ((keys >> np.uint64(8 * (depth + 1 - d))) << np.uint64(8)) | (keys & np.uint64(255))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros(65_536 + 64, np.int64)
-        for b in batches:
-            raws = b["text"].cast(pa.binary()).to_pylist()
-            total[65_536] += sum(len(r.split()) + 1 for r in raws)
-            texts = [_bytes_of(r) for r in raws]
-            buffer = np.frombuffer(END + b"".join(texts), np.uint8).astype(np.int64)
-            total[:65_536] += np.bincount(buffer[:-1] * 256 + buffer[1:], minlength=65_536)
-        return total
 
-    total = summed_counters(rows.where("NOT held_out").select("text"), count, 65_536 + 64)
-    return total[:65_536].reshape(256, 256), int(total[65_536])
+def first_order(counts: np.ndarray) -> np.ndarray:
+    """Probability of each byte after each nearest byte, from their 256 x 256 counts."""
+    root = (counts.sum(0) + 1.0) / (counts.sum() + 256.0)
+    kinds, seen = (counts > 0).sum(1, keepdims=True), counts.sum(1, keepdims=True)
+    return np.where(seen > 0, (counts + kinds * root) / np.maximum(seen + kinds, 1), root)
 
 
-def tree_log_probabilities(keys: np.ndarray, counts: np.ndarray, first: np.ndarray, depth: int, min_count: int, min_gain: float) -> np.ndarray:
-    """Natural log probability of each key's last byte after its context.
+def deepened(keys: np.ndarray, counts: np.ndarray, p: np.ndarray, depth: int, depths: range, min_count: int, min_gain: float) -> np.ndarray:
+    """Probability of each key's last byte after its longest retained context of up to the last of depths.
 
-    keys: sorted, distinct and closed under the nearest two context bytes; counts: in training texts; first: the
-    256 x 256 counts of the nearest byte and the next.  A context is retained if it occurs min_count times and the
-    log-likelihood that its own distribution gains over its longest retained suffix is min_gain nats or more.
+    keys: distinct, and all there are of each context of the first of depths; counts: in training texts; p: the
+    probability by the contexts before that.  A context is retained if it occurs min_count times and the log-likelihood
+    that its own distribution gains over its longest retained suffix is min_gain nats or more.
     """
-    total = first.sum()
-    root = (first.sum(0) + 1.0) / (total + 256.0)
-    kinds, seen = (first > 0).sum(1, keepdims=True), first.sum(1, keepdims=True)
-    one = np.where(seen > 0, (first + kinds * root) / np.maximum(seen + kinds, 1), root)
-    nearest = (keys >> np.uint64(8 * depth)).astype(np.int64)
-    p = one[nearest, (keys & np.uint64(255)).astype(np.int64)]
-    for d in range(2, depth + 1):
-        pair = ((keys >> np.uint64(8 * (depth + 1 - d))) << np.uint64(8)) | (keys & np.uint64(255))
-        pairs, of = np.unique(pair, return_inverse=True)
+    for d in depths if len(keys) else ():
+        pairs, of = np.unique(_shorter(keys, depth, d), return_inverse=True)
         n = np.bincount(of, counts, len(pairs))
         before = np.empty(len(pairs))
         before[of] = p
-        new = np.concatenate([[True], (pairs[1:] >> np.uint64(8)) != (pairs[:-1] >> np.uint64(8))]) if len(pairs) else np.empty(0, bool)
-        context = np.cumsum(new) - 1
-        n_context = np.bincount(context, n)
-        kinds = np.bincount(context, n > 0)
+        context = np.cumsum(np.concatenate([[True], (pairs[1:] >> np.uint64(8)) != (pairs[:-1] >> np.uint64(8))])) - 1
+        n_context, kinds = np.bincount(context, n), np.bincount(context, n > 0)
         with np.errstate(divide="ignore", invalid="ignore"):
             gain = np.bincount(context, np.where(n > 0, n * np.log(n / n_context[context] / before), 0.0))
             after = (n + kinds[context] * before) / (n_context + kinds)[context]
         retained = (n_context >= min_count) & (gain >= min_gain)
         p = np.where(retained[context], after, before)[of]
-    return np.log(p)
+    return p
+
+
+def _messages(chunks: DataFrame, buckets: int, depth: int) -> DataFrame:
+    """chunk, kind, bucket, keys, counts: what each chunk asks for."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                chunk = Chunk(b, i, depth)
+                for kind, slices in ((_WORDS, chunk.words()), (_GRAMS, chunk.grams())):
+                    keys, counts = chunk.distinct(slices)
+                    bucket = _bucket_of(keys, kind, buckets, depth)
+                    order = np.argsort(bucket, kind="stable")
+                    some, first = _starts(bucket[order])
+                    parts = np.split(order, first[1:])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([b["chunk"][i].as_py()] * len(some), pa.int64()),
+                            pa.array([kind] * len(some), pa.int32()),
+                            pa.array(some.astype(np.int32)),
+                            pa.array([_shut_keys(keys[x]) for x in parts], pa.binary()),
+                            pa.array([_shut(counts[x]) for x in parts], pa.binary()),
+                        ],
+                        ["chunk", "kind", "bucket", "keys", "counts"],
+                    )
+
+    return chunks.mapInArrow(ask, "chunk bigint, kind int, bucket int, keys binary, counts binary")
+
+
+def _totals(messages: DataFrame) -> DataFrame:
+    """kind, bucket, keys, counts: the messages added up."""
+
+    def add(key, t):
+        keys, counts = _merged([_open_keys(x) for x in t["keys"].to_pylist()], [_open(x, np.int64) for x in t["counts"].to_pylist()])
+        return pa.table({"kind": t["kind"][:1], "bucket": t["bucket"][:1], "keys": pa.array([_shut_keys(keys)], pa.binary()), "counts": pa.array([_shut(counts)], pa.binary())})
+
+    out = "kind int, bucket int, keys binary, counts binary"
+    return messages.groupBy("kind", "bucket", "salt").applyInArrow(add, out).groupBy("kind", "bucket").applyInArrow(add, out)
+
+
+def _tree(totals: DataFrame, depth: int, min_count: int, min_gain: float) -> DataFrame:
+    """kind, bucket, keys, answers (natural log probabilities) of all n-grams."""
+    short, spark = min(depth, _SHORT), totals.sparkSession
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for bucket, keys, counts in zip(b["bucket"].to_pylist(), b["keys"].to_pylist(), b["counts"].to_pylist(), strict=True):
+                gram, n = _merged([_shorter(_open_keys(keys), depth, short)], [_open(counts, np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), bucket, np.int32)), pa.array(gram.astype(np.int64)), pa.array(n)], ["bucket", "gram", "n"])
+
+    grams = totals.where(F.col("kind") == _GRAMS)
+    shorts = stored(grams.mapInArrow(shorten, "bucket int, gram bigint, n bigint"), "short-contexts")
+    pair = F.shiftright("gram", 8 * short) * 256 + F.pmod("gram", F.lit(256))  # at most 65,536
+    counts = np.zeros(65_536, np.int64)
+    for place, n in shorts.groupBy(pair.alias("pair")).agg(F.sum("n")).collect():
+        counts[place] = n
+    held = spark.sparkContext.broadcast(first_order(counts.reshape(256, 256)))
+
+    def upper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(b["gram"].to_numpy().astype(np.uint64), b["n"].to_numpy()) for b in batches]
+        if got:
+            gram, n = _merged(*map(list, zip(*got, strict=True)))
+            p = held.value[(gram >> np.uint64(8 * short)).astype(np.int64), (gram & np.uint64(255)).astype(np.int64)]
+            p = deepened(gram, n, p, short, range(2, short + 1), min_count, min_gain)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), pa.array(p)], ["gram", "p"])
+
+    summed = shorts.groupBy("gram").agg(F.sum("n").alias("n")).repartition(F.shiftright("gram", 8 * (short - 1)))  # by the nearest two
+    needed = shorts.select("bucket", "gram").join(summed.mapInArrow(upper, "gram bigint, p double"), "gram")
+
+    def lower(key, t, known):
+        if not t.num_rows:
+            return pa.table({"kind": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "answers": pa.array([], pa.binary())})
+        keys, counts = _open_keys(t["keys"][0].as_py()), _open(t["counts"][0].as_py(), np.int64)
+        gram = known["gram"].to_numpy().astype(np.uint64)
+        order = np.argsort(gram)
+        p = known["p"].to_numpy()[order][np.searchsorted(gram[order], _shorter(keys, depth, short))]
+        p = deepened(keys, counts, p, depth, range(short + 1, depth + 1), min_count, min_gain)
+        return pa.table({"kind": t["kind"], "bucket": t["bucket"], "keys": t["keys"], "answers": pa.array([_shut(np.log(p).astype(np.float32))], pa.binary())})
+
+    return grams.groupBy("bucket").cogroup(needed.groupBy("bucket")).applyInArrow(lower, "kind int, bucket int, keys binary, answers binary")
+
+
+def _tokens_and_words(totals: DataFrame) -> tuple[int, int]:
+    """Tokens in training texts, and the distinct ones."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = [_open(x, np.int64) for x in b["counts"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x.sum()) for x in counts], pa.int64()), pa.array([int((x > 0).sum()) for x in counts], pa.int64())], ["n", "v"])
+
+    n, v = totals.where(F.col("kind") == _WORDS).select("counts").mapInArrow(tally, "n bigint, v bigint").agg(F.sum("n"), F.sum("v")).first()
+    return n or 0, v or 0
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 6, min_count: int = 4, min_gain: float = 6.0, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) of every row.
 
     A row is held out, and not learned from, if crc32(doc_id as text; null: empty) mod 10 is 0.  Null texts count as
-    empty: only their end is scored.  Rows are kept as often as they occur, and counted as often.
+    empty: only their end is scored.  Rows are kept as often as they occur, and counted as often.  Long texts are scored
+    in pieces, whose sums are added.  An empty table gives an empty result.
     """
     if not 2 <= depth <= 6:
         raise ValueError("depth must be 2 to 6")
     rows = id_text(docs, id_col, text_col).withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0)
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(task_count(docs), -(-chars // chunk_chars))
-    first, train_tokens = first_order(rows, depth)
-    held = docs.sparkSession.sparkContext.broadcast(first)
-
-    def ask(key, t):
-        raws, train = t["text"].cast(pa.binary()).to_pylist(), ~t["held_out"].to_numpy().astype(bool)
-        words, sizes = _word_hashes(raws, WordHashes())
-        found = [_merged([words], [np.repeat(train, sizes).astype(np.int64)]), _distinct_grams([_bytes_of(r) for r in raws], train, depth)]
-        out = []
-        for kind, (keys, counts) in enumerate(found):
-            bucket = _bucket_of(keys, kind, n, depth)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(n + 1))
-            out += [(kind, k, keys[order[a:b]].tobytes(), counts[order[a:b]].astype(np.uint32).tobytes()) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
-        kinds, buckets, keys, counts = zip(*out, strict=True)
-        return pa.table({"chunk": pa.array([key[0].as_py()] * len(out), pa.int64()), "kind": pa.array(kinds, pa.int32()), "bucket": pa.array(buckets, pa.int32()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
-
-    def totals(t):
-        parts = [np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()]
-        keys, counts = _merged(parts, [np.frombuffer(x, np.uint32).astype(np.int64) for x in t["counts"].to_pylist()])
-        return parts, keys, counts
-
-    def answer(key, t):
-        parts, keys, counts = totals(t)
-        values = tree_log_probabilities(keys, counts, held.value, depth, min_count, min_gain).astype(np.float32) if key[0].as_py() else counts.astype(np.uint32)
-        return pa.table({"chunk": t["chunk"], "kind": t["kind"], "bucket": t["bucket"], "answers": pa.array([values[np.searchsorted(keys, p)].tobytes() for p in parts], pa.binary())})
-
-    def distinct(key, t):
-        known = 0 if key[0].as_py() else int((totals(t)[2] > 0).sum())
-        return pa.table({"known": pa.array([known], pa.int64())})
-
-    def score(texts, answers):
-        raws = texts["text"].cast(pa.binary()).to_pylist()
-        words, sizes = _word_hashes(raws, WordHashes())
-        spelled, one = [_bytes_of(r) for r in raws], np.ones(len(raws))
+    chunks = stored(_chunks(rows, depth, chunk_chars), "chunks")
+    n_chunks = chunks.count()
+    buckets, salts = min(_BUCKETS, max(64, 1 << n_chunks.bit_length())), n_chunks // _SALT_CHUNKS + 1
+    messages = stored(_messages(chunks, buckets, depth), "messages").withColumn("salt", F.pmod(F.hash("chunk"), F.lit(salts)))
+    totals = stored(_totals(messages), "totals")
+    train_tokens, vocabulary = _tokens_and_words(totals)
+    model = totals.where(F.col("kind") == _WORDS).select("kind", "bucket", "keys", F.col("counts").alias("answers"))
+    model = model.unionByName(_tree(totals, depth, min_count, min_gain)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+    def answer(key, asked, told):
+        keys, values = _open_keys(told["keys"][0].as_py()), _open(told["answers"][0].as_py(), np.float32 if key[0].as_py() else np.int64)
+        found = [_shut(values[np.searchsorted(keys, _open_keys(x))]) for x in asked["keys"].to_pylist()]
+        return pa.table({"chunk": asked["chunk"], "kind": asked["kind"], "bucket": asked["bucket"], "answers": pa.array(found, pa.binary())})
+
+    by = ("kind", "bucket", "salt")
+    answers = messages.drop("counts").groupBy(*by).cogroup(model.groupBy(*by)).applyInArrow(answer, "chunk bigint, kind int, bucket int, answers binary")
+
+    def score(key, chunks, answers):
+        chunk = Chunk(chunks, 0, depth)
         told = {(k, b): a for k, b, a in zip(answers["kind"].to_pylist(), answers["bucket"].to_pylist(), answers["answers"].to_pylist(), strict=True)}
 
         def values(keys: np.ndarray, kind: int, dtype) -> np.ndarray:
-            bucket, out = _bucket_of(keys, kind, n, depth), np.empty(len(keys), dtype)
+            bucket, out = _bucket_of(keys, kind, buckets, depth), np.empty(len(keys), dtype)
             order = np.argsort(bucket, kind="stable")
-            out[order] = np.concatenate([np.frombuffer(told[kind, k], dtype) for k in np.unique(bucket).tolist()])
+            out[order] = np.concatenate([_open(told.pop((kind, k)), dtype) for k in _starts(bucket[order])[0].tolist()])
             return out
 
-        keys = _starts(np.sort(words))[0]
-        c = Table(keys, values(keys, 0, np.uint32).astype(np.float64)).get(words)
-        of = np.repeat(np.arange(len(raws)), sizes)
-        base, known = np.bincount(of, np.log10(c + 0.1), len(raws)), np.bincount(of, c > 0, len(raws))
-        keys = _distinct_grams(spelled, one, depth)[0]
-        p, total = Table(keys, values(keys, 1, np.float32).astype(np.float64)), np.zeros(len(raws))
-        for of, key in _grams(spelled, depth):
-            total += np.bincount(of, p.get(key), len(raws))
-        return pa.table({"doc_id": texts["doc_id"], "held_out": texts["held_out"], "n_tokens": pa.array(sizes), "n_known": pa.array(known.astype(np.int64)), "base": pa.array(base), "score": pa.array(total / np.log(10))})
-
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))).repartition(n, "chunk")
-    asked = dealt.groupBy("chunk").applyInArrow(ask, "chunk bigint, kind int, bucket int, keys binary, counts binary").repartition(n, "kind", "bucket")
-    answered = asked.groupBy("kind", "bucket").applyInArrow(answer, "chunk bigint, kind int, bucket int, answers binary").repartition(n, "chunk")
-    vocabulary = asked.groupBy("kind", "bucket").applyInArrow(distinct, "known bigint").agg(F.coalesce(F.sum("known"), F.lit(0)).alias("v")).scalar()
-    scored = dealt.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double")
-    base = F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(train_tokens)) + 0.1 * (vocabulary + 1))
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score")
+        n = len(chunk.sizes)
+        sizes, known, base, total = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+        keys = chunk.distinct(chunk.words())[0]
+        counts = Table(keys, values(keys, _WORDS, np.int64).astype(np.float64))
+        for of, words in chunk.words():
+            c = counts.get(words)
+            sizes += np.bincount(of, minlength=n)
+            known += np.bincount(of[c > 0], minlength=n)
+            base += np.bincount(of, np.log10(c + 0.1), n)
+        del counts
+        keys = chunk.distinct(chunk.grams())[0]
+        p = Table(keys, values(keys, _GRAMS, np.float32))
+        for of, k in chunk.grams():
+            total += np.bincount(of, p.get(k), n)
+        return pa.table({"row": chunk.row, "doc_id": chunk.doc, "held_out": chunk.held, "n_tokens": pa.array(sizes), "n_known": pa.array(known), "base": pa.array(base), "score": pa.array(total / np.log(10))})
+
+    scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double")
+    one = scored.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")))
+    base = F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(train_tokens)) + 0.1 * (F.lit(float(vocabulary)) + 1))
+    return one.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; see ``score_documents``."""
     return score_documents(table(spark, sf_dir, "documents"))
