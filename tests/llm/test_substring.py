@@ -22,9 +22,10 @@ def brute(rows, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("window", "mark", "group"), [(13, 6, 250_000), (13, 6, 3), (7, 4, 40), (5, 5, 250_000)])
-def test_against_brute_force(spark, monkeypatch, window, mark, group):
+@pytest.mark.parametrize(("window", "mark", "group", "block"), [(13, 6, 250_000, 150_000), (13, 6, 3, 150_000), (13, 6, 3, 10), (13, 6, 250_000, 10), (7, 4, 40, 25), (5, 5, 250_000, 150_000)])
+def test_against_brute_force(spark, monkeypatch, window, mark, group, block):
     monkeypatch.setattr(substring, "GROUP_SUFFIXES", group)
+    monkeypatch.setattr(substring, "BLOCK_SUFFIXES", block)
     rng = random.Random(window)
     pool = [[rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(rng.randint(3, 60))] for _ in range(12)]
     rows = []
@@ -47,3 +48,20 @@ def test_passage_that_all_share(spark):
 
 def test_empty_table(spark):
     assert substring.drop_repeats(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
+def test_nodes_are_those_of_a_tree():
+    import numpy as np
+
+    edges = np.array([[1, 2], [1, 3], [1, 2], [2, 2], [1, 2]], np.uint64)
+    nodes = substring._nodes(np.array([7, 7, 7, 7, 8], np.uint64), edges)
+    same = [{tuple(np.flatnonzero(row == x)) for x in row} for row in nodes]
+    assert same == [{(0, 1, 2, 3), (4,)}, {(0, 1, 2), (3,), (4,)}, {(0, 2), (1,), (3,), (4,)}]
+
+
+def test_very_long_repetitive_text(spark):
+    rows = [(1, "a b " * 60_000), (2, "c " + "a b " * 60_000), (3, "x " * 200_000), (4, "y " + "x " * 20)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.drop_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[2] == (120_001, 120_000, "c")
+    assert got[3][1] == 0
+    assert got[4] == (21, 20, "y")
