@@ -28,19 +28,46 @@ TOKEN = r"(?<![A-Za-z0-9@._+-])[A-Za-z@._+-]*+[0-9][A-Za-z0-9@._+-]*+"
 _SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _bits(n: Column) -> Column:
+    """0, 1, .. up to the number of bits of n."""
+    return F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(n, F.lit(1)) + 1)).cast("int"))
+
+
+def running(values: Column, add) -> Column:
+    """values[0], add(values[0], values[1]), ..: in log(size) passes, as an array that grew would be copied at each step."""
+
+    def step(acc: Column, k: Column) -> Column:
+        far = F.pow(F.lit(2), k).cast("int")
+        return F.transform(acc, lambda v, i: F.when(i >= far, add(F.get(acc, i - far), v)).otherwise(v))
+
+    return F.aggregate(_bits(F.size(values) - 1), values, step)
+
+
+def count_below(ordered: Column, x: Column) -> Column:
+    """How many of ordered (ascending) are less than x, by halving."""
+
+    def step(at: Column, k: Column) -> Column:
+        there = at + F.pow(F.lit(2), k).cast("int")
+        return F.when((there <= F.size(ordered)) & (F.get(ordered, there - 1) < x), there).otherwise(at)
+
+    return F.aggregate(F.reverse(_bits(F.size(ordered))), F.lit(0), step)
+
+
 def regex_hits(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, hit, before, after>> of the leftmost, non-overlapping matches, in code points; before and
-    after are the texts up to the next matches.  The pattern must not match the empty string."""
+    """array<struct<start, end, hit, before>> of the leftmost, non-overlapping matches, in code points; before is the text
+    up to the match.  The last has no hit.  The pattern must not match the empty string."""
     parts = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, h: F.struct(p.alias("p"), h.alias("h")))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string,before:string>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.coalesce(F.length(x["h"]), F.lit(0))
-        one = F.struct(start.alias("start"), end.alias("end"), x["h"].alias("hit"), x["p"].alias("before"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], one).alias("out"))
+    def placed(parts: Column) -> Column:
+        ends = running(F.transform(parts, lambda x: F.length(x["p"]) + F.coalesce(F.length(x["h"]), F.lit(0))), lambda a, b: a + b)
+        return F.zip_with(parts, ends, lambda x, end: F.struct((end - F.coalesce(F.length(x["h"]), F.lit(0))).alias("start"), end.alias("end"), x["h"].alias("hit"), x["p"].alias("before")))
 
-    return F.aggregate(parts, begin, step, lambda acc: acc["out"])
+    return _let(parts, placed)
 
 
 def _joined(text: Column, between: str, inside: str) -> Column:
@@ -89,15 +116,23 @@ def _occurrences(rows: DataFrame, least: int) -> DataFrame:
 
     known: a rule's find overlaps it.  Patterns are the two words before, the two after, and the word on either side.
     """
-    some = rows.where(F.col("text").rlike("[0-9]")).select("doc_id", "row", "text", base_spans(F.col("text")).alias("spans"), regex_hits(F.col("text"), TOKEN).alias("hits"))
-    each = F.transform("hits", lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("value"), x["before"].alias("before"), F.get("hits", i + 1)["before"].alias("after")))
-    one = some.select("doc_id", "row", "spans", F.explode(F.filter(each, lambda x: F.length(x["value"]) >= least)).alias("x")).select("doc_id", "row", "spans", "x.*")
-    before = F.split(F.trim(F.regexp_replace(F.lower(F.substring("before", -80, 80)), r"[^\p{L}\p{N}=:]+", " ")), " ")
-    after = F.split(F.trim(F.regexp_replace(F.lower(F.substring("after", 1, 80)), r"[^\p{L}\p{N}=:]+", " ")), " ")
+    some = rows.where(F.col("text").rlike("[0-9]")).select("doc_id", "row", base_spans(F.col("text")).alias("spans"), regex_hits(F.col("text"), TOKEN).alias("hits"))
+    # spans by start, and the furthest end up to each: a string is known if one that starts before its end goes past its start
+    starts, furthest = F.transform("spans", lambda s: s["start"]), running(F.transform("spans", lambda s: s["end"]), F.greatest)
+    some = some.select("doc_id", "row", "hits", starts.alias("starts"), furthest.alias("furthest"))
+
+    def described(x: Column, i: Column) -> Column:
+        known = F.coalesce(F.get("furthest", count_below(F.col("starts"), x["end"]) - 1) > x["start"], F.lit(False))
+        before, after = F.substring(x["before"], -80, 80), F.substring(F.get("hits", i + 1)["before"], 1, 80)
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("value"), before.alias("before"), after.alias("after"), known.alias("known"))
+
+    each = F.filter(F.transform("hits", described), lambda x: F.length(x["value"]) >= least)
+    one = some.select("doc_id", "row", F.explode(each).alias("x")).select("doc_id", "row", "x.*")
+    before = F.split(F.trim(F.regexp_replace(F.lower("before"), r"[^\p{L}\p{N}=:]+", " ")), " ")
+    after = F.split(F.trim(F.regexp_replace(F.lower("after"), r"[^\p{L}\p{N}=:]+", " ")), " ")
     left1, right1 = F.element_at(before, -1), F.element_at(after, 1)
     pats = F.array(F.concat(F.lit("L "), F.array_join(F.slice(before, F.greatest(F.size(before) - 1, F.lit(1)), 2), " ")), F.concat(F.lit("R "), F.array_join(F.slice(after, 1, 2), " ")), F.concat(F.lit("B "), left1, F.lit(" _ "), right1))
-    known = F.exists("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    return one.select("doc_id", "row", "start", "end", F.lower("value").alias("value"), known.alias("known"), pats.alias("pats"))
+    return one.select("doc_id", "row", "start", "end", F.lower("value").alias("value"), "known", pats.alias("pats"))
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, min_support: int = 3, min_score: float = 0.8, min_length: int = 6) -> DataFrame:
@@ -130,5 +165,11 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return both.select("doc_id", F.when(F.col("new").isNull(), F.col("spans")).otherwise(spans).alias("spans"))
 
 
+def op9_pii_of(docs: DataFrame) -> DataFrame:
+    """The contract's columns of docs."""
+    return span_digest(find_personal_data(docs), ["email", "ip", "card", "phone"])
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return span_digest(find_personal_data(table(spark, sf_dir, "documents")), ["email", "ip", "card", "phone"])
+    """Personal data of all documents; see ``find_personal_data``."""
+    return op9_pii_of(table(spark, sf_dir, "documents"))

@@ -55,12 +55,16 @@ def marginal_bytes(compressor, around: str, candidate: str) -> int:
 
 def spans_of(text: str, compressor, novelty: float, context: int, near: int) -> list[tuple[int, int, int]]:
     """(start, place of the kind, end), sorted; code points, end exclusive."""
-    base = [(m.start(), i, m.end()) for i, (_, form, group, least) in enumerate(FORMS) for m in form.finditer(text) if m.end(group) - m.start(group) >= least]
+    base = sorted((m.start(), i, m.end()) for i, (_, form, group, least) in enumerate(FORMS) for m in form.finditer(text) if m.end(group) - m.start(group) >= least)
     # chains of candidates in sensitive context: [start, place of the kind or -1 for one that a form has, end] of each
-    chains, last = [], None
+    chains, last, at, near_base = [], None, 0, []
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        over = [(i, y) for x, i, y in base if x < e and s < y]
+        while at < len(base) and base[at][0] < e:
+            near_base.append(base[at])
+            at += 1
+        near_base = [x for x in near_base if x[2] > s]  # candidates ascend: what ends before this one is done with
+        over = [(i, y) for _, i, y in near_base]
         carried = last is not None and (s <= last or SEPARATORS.fullmatch(text, last, s))
         if not (carried or any(i < 2 for i, _ in over) or SENSITIVE.search(text, max(0, s - near), s) or SENSITIVE.search(text, e, e + near // 2)):
             last = None

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from ledgerloom.llm import secrets
 
@@ -33,7 +35,58 @@ def test_novelty(spark):
     key = "wJalrXUtnFEMI7K7MDENGbPxRfiCYzQ9kLm2"
     texts = [f"the client secret {key} is here", f"the harbour {key} is here", "the secret configuration_settings_production here", "secret " + "ab" * 20]
     got = {r.doc_id: [tuple(x) for x in r.spans] for r in secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
-    assert got == {0: [("novel", 18, 18 + len(key))], 1: [], 2: [], 3: []} or got[0] == [("novel", 18, 18 + len(key))] and not got[1] and not got[2]
+    assert got == {0: [("novel", 18, 18 + len(key))], 1: [], 2: [], 3: [("hex", 7, 47)]}
+
+
+def novel_by_loops(text, novelty=0.75, context=256, near=48):
+    """Candidates measured one by one, each against all base spans."""
+    base = [tuple(int(y) for y in x.split(":")[1:]) + (x.split(":")[0],) for x in brute(text).split(",") if x]
+    c, chains, last = secrets._compressor(secrets.IDENTIFIERS), [], None
+    for m in secrets.CANDIDATE.finditer(text):
+        over = [x for x in base if x[0] < m.end() and m.start() < x[1]]
+        carried = last is not None and (m.start() <= last or re.fullmatch(r"""[ \t\n\r\x0b\x0c."'\\]+""", text[last : m.start()]))
+        told = any(x[2] in ("assign", "access") for x in over) or secrets.SENSITIVE.search(text[max(0, m.start() - near) : m.start()]) or secrets.SENSITIVE.search(text[m.end() : m.end() + near // 2])
+        if not carried and not told:
+            last = None
+            continue
+        if not carried:
+            chains.append([])
+        chains[-1].append((m, bool(over)))
+        last = max([m.end(), *(x[1] for x in over)])
+    out = []
+    for chain in chains:
+        s, e = chain[0][0].start(), chain[-1][0].end()
+        around = (text[max(0, s - context) : s] + text[e : e + context]).encode()
+        size = lambda x: len(c.compress(x))
+        out += [m.span() for m, over in chain if not over and size(around + m[0].encode()) - size(around) >= novelty * len(m[0])]
+    return out
+
+
+def test_novelty_against_loops_recall_and_precision():
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = ["request", "session", "handler", "client", "server", "config", "update", "value", "manager", "service", "user", "index"]
+    c, hits, flagged, n = secrets._compressor(secrets.IDENTIFIERS), 0, 0, 400
+    for i in range(n):
+        name = "_".join(rng.choice(words) for _ in range(4))
+        code = " ".join(rng.choice(words) for _ in range(30))
+        key = "".join(rng.choice(letters) for _ in range(rng.randint(24, 60)))
+        text = f"{code} the secret of {name} is {key}; {code[:60]}" if i % 2 else f"{code} the token of {name} is {name}_{rng.choice(words)}; {code}"
+        got = [(s, e) for s, k, e in secrets.spans_of(text, c, 0.75, 256, 48) if k == 3]
+        assert got == novel_by_loops(text)
+        hits += i % 2 and any(text[s:e] == key for s, e in got)
+        flagged += bool(got) and not i % 2
+    assert hits >= 0.95 * n / 2 and flagged <= 0.02 * n / 2
+
+
+def test_very_long_text():
+    rng = random.Random(2)
+    line = lambda: "password = " + "".join(rng.choice("0123456789abcdefXYZ") for _ in range(24))
+    text = "\n".join(line() for _ in range(100_000))
+    began = time.time()
+    got = secrets.spans_of(text, secrets._compressor(secrets.IDENTIFIERS), 0.75, 256, 48)
+    assert len([x for x in got if x[1] == 0]) == 100_000
+    assert time.time() - began < 60  # a second or two; hours, if each candidate met all spans
 
 
 def test_redaction_keeps_columns_and_rows(spark):
