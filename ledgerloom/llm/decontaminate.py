@@ -28,14 +28,24 @@ WINDOWS = (3, 6, 12, 24)
 _STRIP = b".,;:!?\"'()[]{}<>|*#&%$`~_-"
 
 
+def core(word: bytes) -> bytes:
+    """A word in lower case and without punctuation around."""
+    return word.decode("utf-8", "replace").lower().encode().strip(_STRIP)
+
+
+def cores(raw: bytes) -> list[bytes]:
+    """The words that candidates are checked on, one for each of term_ids."""
+    return [x for x in map(core, raw.split()) if x]
+
+
 class Terms(dict):
-    """Hashed vocabulary numbers of words, compared in lower case and without punctuation around; 0: nothing left."""
+    """Hashed vocabulary numbers of the cores of words; 0: nothing left."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000:
             self.clear()
-        core = word.decode("utf-8", "replace").lower().encode().strip(_STRIP)
-        n = self[word] = 1 + zlib.crc32(core) % (VOCABULARY - 1) if core else 0
+        left = core(word)
+        n = self[word] = 1 + zlib.crc32(left) % (VOCABULARY - 1) if left else 0
         return n
 
 
@@ -45,8 +55,8 @@ def term_ids(raw: bytes, terms: Terms) -> np.ndarray:
     return found[found > 0]
 
 
-def passages_of(ids: np.ndarray, size: int = PASSAGE) -> list[np.ndarray]:
-    """ids whole, or in overlapping passages of size words."""
+def passages_of(ids, size: int = PASSAGE) -> list:
+    """ids (or words) whole, or in overlapping passages of size words."""
     if len(ids) <= size:
         return [ids] if len(ids) else []
     return [ids[a : a + size] for a in range(0, len(ids) - size // 2, size // 2)]
@@ -127,14 +137,14 @@ def latent_space(benchmark: DataFrame, idf: np.ndarray, rank: int, text_col: str
     return names, q[:, :rank].astype(np.float32)
 
 
-def common_subsequence(passage: np.ndarray, region: np.ndarray) -> np.ndarray:
+def common_subsequence(passage: list, region: list) -> np.ndarray:
     """Which words of passage a longest common subsequence with region uses (bit-parallel, then traced)."""
     m = len(passage)
-    where: dict[int, int] = {}
-    for i, t in enumerate(passage.tolist()):
+    where: dict = {}
+    for i, t in enumerate(passage):
         where[t] = where.get(t, 0) | 1 << i
     full, v, steps = (1 << m) - 1, (1 << m) - 1, []
-    used = [where.get(t, 0) for t in region.tolist()]
+    used = [where.get(t, 0) for t in region]
     for mask in used:
         u = v & mask
         v = ((v + u) | (v - u)) & full
@@ -153,10 +163,9 @@ def common_subsequence(passage: np.ndarray, region: np.ndarray) -> np.ndarray:
     return out
 
 
-def _judge(passage: np.ndarray, answer: np.ndarray, region: np.ndarray, idf: np.ndarray) -> tuple[float, float, float]:
-    """Shares of passage words, of their weight, and of answer words that region has in order."""
+def _judge(passage: list[bytes], w: np.ndarray, answer: list[bytes], region: list[bytes]) -> tuple[float, float, float]:
+    """Shares of passage words, of their weight w, and of answer words that region has in order."""
     hit = common_subsequence(passage, region)
-    w = idf[passage]
     told = common_subsequence(answer, region) if len(answer) else np.ones(1, bool)
     return float(hit.mean()), float(w[hit].sum() / w.sum()), float(told.mean())
 
@@ -174,7 +183,9 @@ def find_leaks(
     a candidate from a latent cosine of min_cosine.  It leaks if the text around the window holds, in order, min_lcs of
     its words, min_weighted of their weight, and min_answer of the words of its answer: answer_col, or, where a benchmark
     names none, the last third of the passage.  Items of over 64 words are compared in overlapping passages, any of which
-    counts.  Repeated rows of a document give one row an item; null texts and texts without words leak nothing.
+    counts.  Repeated rows of a document give one row an item, with the best of each measure in the order above from lcs on;
+    rows of a null id are one document of that id; null texts, texts without words and an empty benchmark leak nothing.
+    The cosine search is by hashed words; what it finds is checked on the words themselves.
     """
     sc = docs.sparkSession.sparkContext
     items = benchmark.select(benchmark[item_col].cast("bigint").alias("item_id"), F.coalesce(benchmark[item_text_col].cast("string"), F.lit("")).alias("text"), (benchmark[answer_col].cast("string") if answer_col else F.lit(None).cast("string")).alias("answer"))
@@ -190,9 +201,9 @@ def find_leaks(
     for k in range(blocks):
         block, terms = [], Terms()
         for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect():
-            answer = term_ids(r.answer.encode(), terms) if r.answer else None
-            for p in passages_of(term_ids(r.text.encode(), terms)):
-                block.append((r.item_id, p, p[-max(1, len(p) // 3) :] if answer is None else answer))
+            answer, raw = cores(r.answer.encode()) if r.answer else None, r.text.encode()
+            for p, spelled in zip(passages_of(term_ids(raw, terms)), passages_of(cores(raw)), strict=True):
+                block.append((r.item_id, p, spelled, spelled[-max(1, len(p) // 3) :] if answer is None else answer))
         if block and axes.size:
             one = rows.mapInArrow(_searcher(sc.broadcast(block), space, min_share, min_cosine, min_lcs, min_weighted, min_answer), _OUT)
             found = one if found is None else found.unionByName(one)
@@ -206,14 +217,15 @@ def _searcher(block, space, min_share: float, min_cosine: float, min_lcs: float,
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, place, axes = space.value
         passages = block.value
-        latent = np.stack([(idf[p][:, None] * axes[place[p]]).sum(0) for _, p, _ in passages])
+        latent = np.stack([(idf[p][:, None] * axes[place[p]]).sum(0) for _, p, _, _ in passages])
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
         by_window = {}
-        for j, (_, p, _) in enumerate(passages):
+        for j, (_, p, _, _) in enumerate(passages):
             by_window.setdefault(window_for(len(p)), []).append(j)
         terms = Terms()
         for b in batches:
-            ids = [term_ids(raw, terms) for raw in b["text"].cast(pa.binary()).to_pylist()]
+            raws, spelled = b["text"].cast(pa.binary()).to_pylist(), {}
+            ids = [term_ids(raw, terms) for raw in raws]
             sizes = np.array([len(x) for x in ids], np.int64)
             word = np.concatenate(ids) if len(ids) else np.empty(0, np.int32)
             ends = np.cumsum(sizes)
@@ -232,7 +244,7 @@ def _searcher(block, space, min_share: float, min_cosine: float, min_lcs: float,
                     x = np.einsum("ij,ijk->ik", np.where(use, weight[at], 0.0).astype(np.float32), axes[np.where(use, row[at], 0)])
                     cosine = (x @ latent[sought].T) / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
                     for i, j in zip(*np.nonzero(cosine >= min_cosine), strict=True):
-                        w, (item, passage, answer) = part[i], passages[sought[j]]
+                        w, (item, passage, words, answer) = part[i], passages[sought[j]]
                         d = int(doc[w])
                         first, last = int(ends[d] - sizes[d]), int(ends[d])
                         around = len(passage) + len(passage) // 2
@@ -241,11 +253,13 @@ def _searcher(block, space, min_share: float, min_cosine: float, min_lcs: float,
                             continue
                         tried.add(spot)
                         near = first + spot[2] * around
-                        region = word[max(first, near - around) : min(last, near + 2 * around + width)]
-                        held = np.isin(passage, region)  # bounds the subsequence from above
+                        a0, a1 = max(first, near - around), min(last, near + 2 * around + width)
+                        held = np.isin(passage, word[a0:a1])  # bounds the subsequence from above
                         if held.mean() < min_lcs or idf[passage][held].sum() < min_weighted * idf[passage].sum():
                             continue
-                        lcs, weighted, told = _judge(passage, answer, region, idf)
+                        if d not in spelled:
+                            spelled[d] = cores(raws[d])
+                        lcs, weighted, told = _judge(words, idf[passage], answer, spelled[d][a0 - first : a1 - first])
                         if lcs >= min_lcs and weighted >= min_weighted and told >= min_answer:
                             new = (lcs, weighted, told, float(cosine[i, j]))
                             best[d, item] = max(best.get((d, item), new), new)
@@ -272,10 +286,15 @@ def _windows(sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs, all columns, without documents in which find_leaks finds an item.  Rows without an id stay."""
+    """docs, all columns, without documents in which find_leaks finds an item.
+
+    Rows without an id stay; repeated rows go or stay together; an empty benchmark lets all stay.  Columns of any name,
+    ``_gone`` too, are kept as they are.
+    """
     gone = find_leaks(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items they hold or paraphrase; see ``find_leaks``."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
