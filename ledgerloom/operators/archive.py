@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.ledger import BATCH, HOT_LIMIT, bucket, cold_start, expected, present, table, tiers
-from .contiguity import P
+from .contiguity import P, highest_contiguous
 
 #: Fixed value: the form of an archive index's name, first and last block in ten digits.
 NAME_FORM, NAME_PATTERN = "blocks-%010d-%010d.rbi", r"blocks-(\d{10})-(\d{10})\.rbi"
@@ -29,14 +29,16 @@ def catalog(cold: DataFrame) -> DataFrame:
 
 def archive_plan(hot: DataFrame, hot_limit: int = HOT_LIMIT, batch: int = BATCH) -> DataFrame:
     """Batches that archiving moves: from the earliest hot block on, while the span of numbers stays over hot_limit,
-    each batch in turn if it is complete; the first incomplete one ends the cycle.  Ordered rows are one a batch."""
+    each batch in turn if it is complete; the first incomplete one ends the cycle.  Nothing is ordered in one task: the
+    plan only needs the least batch that is incomplete, and the least that is missing."""
     ends = hot.agg(F.min("block_number").alias("lo"), F.max("block_number").alias("hi"))
     number = F.floor((F.col("block_number") - F.col("lo")) / batch).cast("bigint")
     batches = hot.join(F.broadcast(ends), F.lit(True)).groupBy(number.alias("k"), "lo", "hi").agg(F.count_distinct("block_number").alias("n"))
-    w = Window.orderBy("k")
-    good = batches.withColumn("r", F.row_number().over(w) - 1).withColumn("unbroken", F.min(((F.col("n") == batch) & (F.col("k") == F.col("r"))).cast("int")).over(w))
+    partial = batches.agg(F.min(F.when(F.col("n") < batch, F.col("k"))).alias("partial"))
+    unbroken = highest_contiguous(batches.select(F.col("k").alias("block_number"))).select((F.col("highest_contiguous") + 1).alias("missing"))
+    good = batches.join(F.broadcast(partial), F.lit(True)).join(F.broadcast(unbroken), F.lit(True)).where(F.col("k") < F.least("partial", "missing"))
     start = F.col("lo") + F.col("k") * batch
-    return good.where((F.col("unbroken") == 1) & (F.col("hi") - start + 1 > hot_limit)).select(start.alias("first_block"), (start + batch - 1).alias("last_block"))
+    return good.where(F.col("hi") - start + 1 > hot_limit).select(start.alias("first_block"), (start + batch - 1).alias("last_block"))
 
 
 def archive_batches(hot: DataFrame, hot_limit: int = HOT_LIMIT, batch: int = BATCH) -> DataFrame:

@@ -50,27 +50,52 @@ def batch_completeness(blocks: DataFrame, batch: int = BATCH) -> DataFrame:
     return blocks.groupBy(bucket(F.col("block_number"), batch).alias("batch_start")).agg(F.count_distinct("block_number").alias("n_blocks")).withColumn("complete", F.col("n_blocks") == batch)
 
 
-def merge_intervals(ranges: DataFrame, key: str | None = None) -> DataFrame:
-    """Unites overlapping and adjacent closed ranges (s, e), per key if given; ranges with e < s are ignored."""
+def merge_intervals(ranges: DataFrame, key: str | None = None, width: int = WIDTH) -> DataFrame:
+    """Unites overlapping and adjacent closed ranges (s, e), per key if given; ranges with e < s are ignored.
+
+    Running maxima and island numbers are taken within buckets of starts, and over one row a bucket.
+    """
     by = [key] if key else []
-    w = Window.partitionBy(*by).orderBy("s", "e")
-    before = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opened = ranges.where("e >= s").withColumn("opens", F.when(before.isNull() | (F.col("s") > before + 1), 1).otherwise(0))
-    return opened.withColumn("island", F.sum("opens").over(w)).groupBy(*by, "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
+    rows = ranges.where("e >= s").select(*by, "s", "e", bucket(F.col("s"), width).alias("b"))
+    w = Window.partitionBy(*by, "b").orderBy("s", "e")
+    earlier = Window.partitionBy(*by).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+
+    def with_earlier(rows: DataFrame, value: str, total, name: str) -> DataFrame:
+        sums = rows.groupBy(*by, "b").agg(total(value).alias("_t")).withColumn(name, total("_t").over(earlier))
+        sums = sums.select(*(F.col(c).alias(f"_{c}") for c in [*by, "b"]), name)
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*by, "b"]]
+        return rows.join(sums, same).select(*rows.columns, name)
+
+    before = F.greatest(F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)), "far")
+    opened = with_earlier(rows, "e", F.max, "far").withColumn("opens", F.when(before.isNull() | (F.col("s") > before + 1), 1).otherwise(0)).drop("far")
+    island = F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("n_before", F.lit(0))
+    return with_earlier(opened, "opens", F.sum, "n_before").withColumn("island", island).groupBy(*by, "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
 
 
 def split_intervals(ranges: DataFrame, points: DataFrame) -> DataFrame:
     """Takes filled points (n) out of closed, disjoint ranges (s, e): nothing, one or more ranges remain of each."""
-    inside = ranges.join(points, (F.col("n") >= F.col("s")) & (F.col("n") <= F.col("e")), "left")
-    cuts = inside.groupBy("s", "e").agg(F.array_sort(F.collect_set("n")).alias("cuts"))
+    inside = containing_ranges(points.select("n").distinct(), ranges.select(F.col("s").alias("gap_start"), F.col("e").alias("gap_end")))
+    cuts = inside.groupBy(F.col("gap_start").alias("s")).agg(F.array_sort(F.collect_list("n")).alias("cuts"))
+    all_ = ranges.select("s", "e").join(cuts, "s", "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<bigint>")))
     parts = F.zip_with(F.concat(F.array(F.col("s") - 1), "cuts"), F.concat("cuts", F.array(F.col("e") + 1)), lambda a, b: F.struct((a + 1).alias("s"), (b - 1).alias("e")))
-    return cuts.select(F.explode(F.filter(parts, lambda x: x["e"] >= x["s"])).alias("x")).select("x.s", "x.e")
+    return all_.select(F.explode(F.filter(parts, lambda x: x["e"] >= x["s"])).alias("x")).select("x.s", "x.e")
 
 
 def containing_ranges(points: DataFrame, ranges: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Each point n with the closed range (gap_start, gap_end) it lies in: an equi-join on buckets, then the bounds."""
-    pieces = ranges.withColumn("b", F.explode(F.sequence(bucket(F.col("gap_start"), width), bucket(F.col("gap_end"), width), F.lit(width).cast("bigint"))))
-    return points.withColumn("b", bucket(F.col("n"), width)).join(pieces, "b").where("n BETWEEN gap_start AND gap_end").drop("b")
+    """Each row of points (n and more) with the closed, disjoint range (gap_start, gap_end) it lies in.
+
+    The range of greatest start at or before n is the only one that can hold it: it is found within buckets of numbers,
+    or is the last of the buckets before, of which there is one row each.
+    """
+    both = points.select("n", F.struct(*points.columns).alias("p"), F.lit(None).cast("struct<s:bigint,e:bigint>").alias("r")).unionByName(
+        ranges.select(F.col("gap_start").alias("n"), F.struct(F.col("gap_start").cast("bigint").alias("s"), F.col("gap_end").cast("bigint").alias("e")).alias("r")), allowMissingColumns=True
+    )
+    both = both.withColumn("b", bucket(F.col("n"), width))
+    before = both.groupBy("b").agg(F.max("r").alias("last"))
+    before = before.select("b", F.max("last").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
+    here = F.max("r").over(Window.partitionBy("b").orderBy("n").rangeBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("here", here).where("p IS NOT NULL").join(before, "b").select("p.*", F.coalesce("here", "earlier").alias("_r"))
+    return found.where("n <= _r.e").select(*points.columns, F.col("_r.s").alias("gap_start"), F.col("_r.e").alias("gap_end"))
 
 
 def next_at_least(points: DataFrame, keys: DataFrame, width: int = WIDTH) -> DataFrame:

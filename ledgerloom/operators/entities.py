@@ -26,7 +26,10 @@ def hex_of(c: Column) -> Column:
 
 
 def lookup(requests: DataFrame, state: DataFrame, on: str | list[str], kind: str) -> DataFrame:
-    """Each request with its entity's columns and a code: OK, or the kind's not-found code with nulls.  Null ids fail."""
+    """Each request with its entity's columns and a code: OK, or the kind's not-found code with nulls.  Null ids fail, and
+    so does a column that is named as the code is."""
+    if "code" in requests.columns + state.columns:
+        raise ValueError("a column is named code")
     keys = [on] if isinstance(on, str) else on
     checked = requests
     for k in keys:

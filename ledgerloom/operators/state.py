@@ -8,19 +8,30 @@ from pyspark.sql import functions as F
 from ..sources.ledger import changes
 
 
-def snapshot(log: DataFrame) -> DataFrame:
-    """key, ts, seq, value of the last change by (ts, seq) of every key whose last change is no delete.
+def latest_changes(log: DataFrame) -> DataFrame:
+    """key, ts, seq, op, value of the last change by (ts, seq) of every key, deletes included: what a later batch needs,
+    as a change that comes late must not bring a deleted key back.
 
     One hash aggregation with partial sums: a hot key sends one row a task.
     """
-    last = log.groupBy("key").agg(F.max(F.struct("ts", "seq", "op", "value")).alias("c"))
-    return last.where("c.op <> 'delete'").select("key", "c.ts", "c.seq", "c.value")
+    return log.groupBy("key").agg(F.max(F.struct("ts", "seq", "op", "value")).alias("c")).select("key", "c.*")
+
+
+def visible(latest: DataFrame) -> DataFrame:
+    """key, ts, seq, value of the keys whose last change is no delete."""
+    return latest.where("op <> 'delete'").select("key", "ts", "seq", "value")
+
+
+def snapshot(log: DataFrame) -> DataFrame:
+    """key, ts, seq, value of the last change by (ts, seq) of every key whose last change is no delete."""
+    return visible(latest_changes(log))
 
 
-def resume(state: DataFrame, log: DataFrame, last_processed: int) -> DataFrame:
-    """state, a snapshot up to seq last_processed, brought forward by the later changes; earlier ones are skipped."""
-    old = state.select("key", "ts", "seq", F.lit("update").alias("op"), "value")
-    return snapshot(old.unionByName(log.where(F.col("seq") > last_processed).select("key", "ts", "seq", "op", "value")))
+def resume(latest: DataFrame, log: DataFrame, last_processed: int | None = None) -> DataFrame:
+    """latest, the latest changes up to seq last_processed, brought forward by the later ones of log, late ones included;
+    without a number, all of log is taken: changes it has already do nothing."""
+    new = log.select("key", "ts", "seq", "op", "value")
+    return latest_changes(latest.select("key", "ts", "seq", "op", "value").unionByName(new if last_processed is None else new.where(F.col("seq") > last_processed)))
 
 
 def queue_depths(ops: DataFrame) -> DataFrame:
@@ -52,7 +63,7 @@ def _queue(s, d):
 
 QUERIES = {
     "state_snapshot": lambda s, d: snapshot(changes(s, d)),
-    "state_resume": lambda s, d: resume(snapshot(changes(s, d).where("seq <= 5000")), changes(s, d), 5000),
+    "state_resume": lambda s, d: visible(resume(latest_changes(changes(s, d).where("seq <= 5000")), changes(s, d), 5000)),
     "queue_fifo": lambda s, d: queue_depths(_queue(s, d)),
     "queue_pop_matches": lambda s, d: queue_pops(_queue(s, d)),
 }

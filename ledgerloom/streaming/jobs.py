@@ -6,22 +6,30 @@ table in the shared folder.  State is keyed by block, key or session, and bounde
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.state import resume, snapshot
-from ..sources.ledger import table
+from ..operators.archive import archive_plan
+from ..operators.state import latest_changes, resume, visible
+from ..sources.ledger import BATCH, HOT_LIMIT, table
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder all executors share (spark.checkpoint.dir), or a temporary one where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
+    """A new path in the folder all executors share (spark.checkpoint.dir); where that is unset, a temporary one if the
+    executors are threads of this machine, else an error."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
     path = f"{top.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
@@ -90,31 +98,72 @@ def session_outcomes(headers: DataFrame) -> DataFrame:
     def judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         latest = state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values("seq")
-        outcomes = []
-        for n in rows["block_number"]:
-            duplicate = latest is not None and n <= latest
-            outcomes.append("DUPLICATE_BLOCK" if duplicate else "ACCEPTED")
-            latest = latest if duplicate else int(n)
-        state.update((latest,))
-        yield pd.DataFrame({"session": key[0], "seq": rows["seq"], "block_number": rows["block_number"], "outcome": outcomes})
+        numbers = rows["block_number"].to_numpy()
+        largest = np.maximum.accumulate(numbers if latest is None else np.append(latest, numbers))
+        duplicate = numbers <= (np.append(numbers[0] - 1, largest[:-1]) if latest is None else largest[:-1])
+        state.update((int(largest[-1]),))
+        yield pd.DataFrame({"session": key[0], "seq": rows["seq"], "block_number": numbers, "outcome": np.where(duplicate, "DUPLICATE_BLOCK", "ACCEPTED")})
 
     kind = "session bigint, seq bigint, block_number bigint, outcome string"
     return headers.groupBy("session").applyInPandasWithState(judge, kind, "latest bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def fold_state(log: DataFrame, path: str) -> None:
-    """Folds a stream of changes (key, ts, seq, op, value) into snapshots under path, one folder a micro-batch.
+def fold_state(log: DataFrame, path: str) -> DataFrame:
+    """Folds a stream of changes (key, ts, seq, op, value) into the latest changes under path, one folder a micro-batch,
+    and gives the state that is visible at the end.
 
-    A batch starts from the snapshot of the one before and overwrites its own folder, so running it again changes
-    nothing; changes up to the snapshot's last seq are skipped by the order of (ts, seq).
+    A batch starts from the folder of the one before and overwrites its own, so running it again changes nothing.
+    Deletes are kept as changes: an older update that comes in a later batch does not bring the key back.
     """
     spark = log.sparkSession
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        new = snapshot(batch) if batch_id == 0 else resume(spark.read.parquet(f"{path}/{batch_id - 1}"), batch, -1)
+        new = latest_changes(batch) if batch_id == 0 else resume(spark.read.parquet(f"{path}/{batch_id - 1}"), batch)
         new.write.mode("overwrite").parquet(f"{path}/{batch_id}")
 
-    log.writeStream.option("checkpointLocation", f"{path}/log").trigger(availableNow=True).foreachBatch(fold).start().awaitTermination()
+    query = log.writeStream.option("checkpointLocation", f"{path}/log").trigger(availableNow=True).foreachBatch(fold).start()
+    query.awaitTermination()
+    done = query.lastProgress["batchId"] if query.lastProgress else -1
+    while done >= 0 and not _there(spark, f"{path}/{done}"):  # a last, empty batch is not folded
+        done -= 1
+    return visible(spark.read.parquet(f"{path}/{done}")) if done >= 0 else visible(spark.createDataFrame([], log.schema))
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def archiver(blocks: DataFrame, path: str, hot_limit: int, batch: int) -> None:
+    """Persists a stream of blocks (block_number and more) and archives behind it: each micro-batch writes the hot tier
+    anew as hot/<n>, without what it moves to cold/<n>, in folders of its own.
+
+    Both folders come from the hot folder before and the micro-batch, so running one again changes nothing; a reader takes
+    the last hot folder and all cold ones.  Complete batches move while the span of hot numbers stays over hot_limit.
+    """
+    spark = blocks.sparkSession
+
+    def step(new: DataFrame, n: int) -> None:
+        hot = new if n == 0 else spark.read.parquet(f"{path}/hot/{n - 1}").unionByName(new)
+        hot = hot.dropDuplicates(["block_number"])
+        if n:  # blocks that come again after they were archived
+            hot = hot.join(spark.read.parquet(*(f"{path}/cold/{k}" for k in range(n))).select("block_number"), "block_number", "left_anti")
+        plan = archive_plan(hot, hot_limit, batch).select("first_block", F.explode(F.sequence("first_block", "last_block")).alias("block_number"))
+        hot.join(plan, "block_number").withColumnRenamed("first_block", "batch_start").repartition("batch_start").sortWithinPartitions("block_number").write.mode("overwrite").parquet(f"{path}/cold/{n}")
+        hot.join(plan, "block_number", "left_anti").write.mode("overwrite").parquet(f"{path}/hot/{n}")
+
+    blocks.writeStream.option("checkpointLocation", f"{path}/log").trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
+
+
+def subscribed(spark: SparkSession, history: DataFrame, live: DataFrame, start: int, label: str = "subscribed") -> DataFrame:
+    """Blocks from start on: those of history, then those that the live stream brings after the latest of history.
+
+    The hand-over is by number: what both have comes from history, so nothing is missing or given twice.
+    """
+    latest = history.agg(F.max("block_number")).first()[0]
+    old = history.where(F.col("block_number") >= start)
+    new = drained(tail(live, start if latest is None else max(start, latest + 1)).dropDuplicates(["block_number"]), label)
+    return old.unionByName(new.select(old.columns))
 
 
 def _events(s, d):
@@ -125,7 +174,27 @@ def _items(s, d):
     return source(s, d, "lineitem").select(F.col("l_orderkey").alias("block_number"), F.col("l_suppkey").alias("session"), F.col("l_shipdate").alias("arrival"), F.col("l_linenumber").alias("line"))
 
 
+def _changes(s, d):
+    e = source(s, d, "events")
+    return e.select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "delete").otherwise("update").alias("op"), "value")
+
+
+def _history_then_live(s, d):
+    old = table(s, d, "orders").select(F.col("o_orderkey").alias("block_number"), F.lit("history").alias("source")).where("block_number < 1000")
+    return subscribed(s, old, source(s, d, "orders").select(F.col("o_orderkey").alias("block_number"), F.lit("live").alias("source")), 500)
+
+
+def _archived(s, d):
+    path = shared_path(s, "archiver")
+    archiver(source(s, d, "orders").select(F.col("o_orderkey").alias("block_number")), path, HOT_LIMIT, BATCH)
+    cold = s.read.schema("block_number bigint, batch_start bigint").option("recursiveFileLookup", True).parquet(f"{path}/cold")
+    return cold.groupBy("batch_start").agg(F.count("*").alias("n_blocks"), F.min("block_number").alias("first_block"), F.max("block_number").alias("last_block"))
+
+
 QUERIES = {
+    "stream_fold_state": lambda s, d: fold_state(_changes(s, d), shared_path(s, "state")),
+    "stream_history_then_live": _history_then_live,
+    "stream_archiver": _archived,
     "stream_tail": lambda s, d: drained(tail(_events(s, d), 5000), "tail"),
     "stream_dedup": lambda s, d: drained(deduplicated(_events(s, d), ["session", "event_type"]).select("session", "event_type"), "dedup"),
     "stream_election": lambda s, d: drained(election(_items(s, d)), "election", "complete"),
@@ -133,6 +202,10 @@ QUERIES = {
     "stream_session_outcomes": lambda s, d: drained(session_outcomes(source(s, d, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.floor(F.col("event_id") / 2 + F.col("value") % 97).alias("block_number"))), "outcomes"),
 }
 SQL = {
+    "stream_fold_state": "SELECT user_id AS key, ts, event_id AS seq, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'error'",
+    "stream_history_then_live": "SELECT o_orderkey AS block_number, CASE WHEN o_orderkey < 1000 THEN 'history' ELSE 'live' END AS source FROM orders WHERE o_orderkey >= 500",
+    "stream_archiver": f"""WITH m AS (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders), b AS (SELECT lo + (o_orderkey - lo) // {BATCH} * {BATCH} AS batch_start, hi, count(*) AS n, min(o_orderkey) AS f, max(o_orderkey) AS l FROM orders, m GROUP BY ALL)
+        SELECT batch_start, n AS n_blocks, f AS first_block, l AS last_block FROM b WHERE n = {BATCH} AND hi - batch_start + 1 > {HOT_LIMIT}""",
     "stream_tail": "SELECT event_id AS block_number, user_id AS session, event_type, ts FROM events WHERE event_id >= 5000",
     "stream_dedup": "SELECT DISTINCT user_id AS session, event_type FROM events",
     "stream_election": "SELECT l_orderkey AS block_number, arg_min(l_suppkey, row(l_shipdate, l_suppkey)) AS winner FROM lineitem GROUP BY 1",
