@@ -7,6 +7,7 @@ UTF-8 bytes.  ``None`` texts count as empty everywhere.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -39,11 +40,14 @@ def sha_of(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see (``spark.checkpoint.dir``); a temporary one only where that is unset."""
+    """The folder all executors see (``spark.checkpoint.dir``); where that is unset, a temporary one if the executors are
+    threads of this machine, else an error."""
     global _own_dir
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="ledgerloom-")
         import shutil

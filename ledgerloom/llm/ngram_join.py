@@ -6,7 +6,9 @@ filter after it, and each pair is verified once on the whole sets.
 
 Only components are asked for, so a pair whose ends are known to be connected needs no check.  The first round links the
 members of each n-gram's list to the member whose prefix reaches that n-gram earliest (a list gives as many pairs as it
-has members; a long list is dealt in parts, whose earliest members are linked likewise); the second takes the remaining pairs between different components.
+has members; a long list is dealt in parts, whose earliest members are linked likewise); the second takes the remaining pairs
+between different components, block by block of the parts: of a list's largest component each member meets only the
+members of other components, so that a list with one stray has as many pairs as members.
 """
 
 from __future__ import annotations
@@ -189,10 +191,10 @@ def ngram_groups(docs: DataFrame, n: int = 5, min_similarity_pct: int = 80, id_c
     parts = task_count(docs)
     sets = stored(_prefixes(rows, n, pct), "prefixes")
     linked = sets.where("key IS NOT NULL AND doc_id IS NOT NULL")
-    # rep, the smallest id of the class, stands for it from here
-    classes = stored(linked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "classes")
-    first = linked.select("doc_id", "key", "tokens", "splits").join(classes.select("key", "rep", "n"), "key").where("doc_id = rep").dropDuplicates(["rep", "key"])
-    entries = first.select("rep", "n", F.posexplode(F.arrays_zip("tokens", "splits")).alias("pos", "x")).select("rep", "n", "pos", F.col("x.tokens").alias("token"), F.col("x.splits").alias("splits"))
+    # rep, the smallest id of the class, stands for it from here; its copies are merged where they are read
+    told = F.struct("doc_id", "n_shingles", "signature", "tokens", "splits")
+    classes = stored(linked.groupBy("key").agg(F.min_by(told, "doc_id").alias("c")).select("key", F.col("c.doc_id").alias("rep"), F.col("c.n_shingles").alias("n"), "c.signature", "c.tokens", "c.splits"), "classes")
+    entries = classes.select("rep", "n", F.posexplode(F.arrays_zip("tokens", "splits")).alias("pos", "x")).select("rep", "n", "pos", F.col("x.tokens").alias("token"), F.col("x.splits").alias("splits"))
     entries = entries.withColumn("part", F.pmod(F.xxhash64("rep"), "splits").cast("int")).repartition(parts, "token", "part")
 
     alpha = F.ceil(pct * (F.col("n_a") + F.col("n_b")) / (100 + pct))
@@ -201,7 +203,7 @@ def ngram_groups(docs: DataFrame, n: int = 5, min_similarity_pct: int = 80, id_c
     # first round: the members of each part of a list against its earliest, and these against the list's earliest
     part = Window.partitionBy("token", "part")
     listed = entries.select("*", F.min(F.struct("pos", "n", "rep")).over(part).alias("p"), F.count("*").over(part).alias("c")).where("c > 1 OR splits > 1")
-    listed = stored(listed.select("token", "splits", "rep", "n", "pos", "p"), "lists")
+    listed = stored(listed.select("token", "splits", "part", "rep", "n", "pos", "p"), "lists")
     heads = listed.where("splits > 1").select("token", "p").distinct()
     heads = heads.select("token", "p", F.min("p").over(Window.partitionBy("token")).alias("q"))
     stars = listed.select("rep", "n", "pos", "p").unionByName(heads.select("p.rep", "p.n", "p.pos", F.col("q").alias("p")))
@@ -210,12 +212,18 @@ def ngram_groups(docs: DataFrame, n: int = 5, min_similarity_pct: int = 80, id_c
     links = stored(_verified(stars, rows, n, pct), "links")
     roots = components(links)
 
-    # second round: what is left between components
-    placed = listed.join(roots, listed["rep"] == roots["node"], "left").select("token", "pos", "n", "rep", F.coalesce("root", "rep").alias("root"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("token")
+    # second round: what is left between components; members of a list's largest component only meet the others
+    placed = listed.join(roots, listed["rep"] == roots["node"], "left").select("token", "splits", "part", "pos", "n", "rep", F.coalesce("root", "rep").alias("root"))
+    sizes = placed.groupBy("token", "root").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("token").agg(F.max_by("root", "c").alias("top"), F.count("*").alias("k")).where("k > 1").select("token", "top")
     open_ = stored(placed.join(mixed, "token"), "open")
-    a, b = (open_.select("token", F.col("pos").alias(f"pos_{x}"), F.col("n").alias(f"n_{x}"), F.col("rep").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
-    pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & fits).select("a", "b").distinct()
+    a, b = (
+        side.select("token", F.col("part").alias(at), F.explode(F.expr("sequence(0, splits - 1)")).alias(other), "top", F.col("pos").alias(f"pos_{x}"), F.col("n").alias(f"n_{x}"), F.col("rep").alias(x), F.col("root").alias(f"root_{x}"))
+        for x, at, other, side in (("a", "p", "q", open_.where("root != top")), ("b", "q", "p", open_))
+    )
+    once = (F.col("root_b") == F.col("top")) | (F.col("a") < F.col("b"))
+    pairs = a.join(b.drop("top"), ["token", "p", "q"]).where(once & (F.col("root_a") != F.col("root_b")) & fits)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = stored(_suffix_filtered(pairs.join(stars, ["a", "b"], "left_anti"), classes, pct), "pairs")
     if not pairs.isEmpty():
         links = stored(links.unionByName(_verified(pairs, rows, n, pct)), "links")
@@ -290,13 +298,18 @@ def _suffix_filtered(pairs: DataFrame, classes: DataFrame, pct: int) -> DataFram
 
 
 def keep_first_of_group(docs: DataFrame, n: int = 5, min_similarity_pct: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, without the documents that are not the first (smallest id) of their group.  Rows without an id stay."""
+    """docs, all columns, without the documents that are not the first (smallest id) of their group.
+
+    Rows without an id stay, as do empty texts; repeated rows of an id stay or go together; an empty table stays empty.
+    Columns of any name, ``_gone`` too, are kept as they are.
+    """
     groups = ngram_groups(docs, n, min_similarity_pct, id_col, text_col)
     gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all documents by three-word shingles at 90 %; see ``ngram_groups``."""
     return ngram_groups(table(spark, sf_dir, "documents"), n=3, min_similarity_pct=90).drop("n_verified")
 
 

@@ -71,3 +71,31 @@ def test_keep_first(spark):
 
 def test_empty_table(spark):
     assert ngram_join.ngram_groups(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
+def test_one_long_list_over_many_components(spark, monkeypatch):
+    """A passage that all texts share, dealt in parts, over many pairs of near copies and single texts."""
+    monkeypatch.setattr(ngram_join, "LIST", 25)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows, want = [], {}
+    for g in range(60):
+        own = " ".join(f"g{g}w{i}" for i in range(60 if g % 3 else 2))
+        for k in range(1 + g % 2):
+            rows.append((g * 10 + k, f"{own} {passage}" + (f" end{g}" if k else "")))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_groups(docs, n=3, min_similarity_pct=80).collect()}
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    want = {i: find(i) for i in sets}
+    assert got == want and len(set(want.values())) > 20
