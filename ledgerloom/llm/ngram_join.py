@@ -191,10 +191,10 @@ def ngram_groups(docs: DataFrame, n: int = 5, min_similarity_pct: int = 80, id_c
     parts = task_count(docs)
     sets = stored(_prefixes(rows, n, pct), "prefixes")
     linked = sets.where("key IS NOT NULL AND doc_id IS NOT NULL")
-    # rep, the smallest id of the class, stands for it from here; its copies are merged where they are read
-    told = F.struct("doc_id", "n_shingles", "signature", "tokens", "splits")
-    classes = stored(linked.groupBy("key").agg(F.min_by(told, "doc_id").alias("c")).select("key", F.col("c.doc_id").alias("rep"), F.col("c.n_shingles").alias("n"), "c.signature", "c.tokens", "c.splits"), "classes")
-    entries = classes.select("rep", "n", F.posexplode(F.arrays_zip("tokens", "splits")).alias("pos", "x")).select("rep", "n", "pos", F.col("x.tokens").alias("token"), F.col("x.splits").alias("splits"))
+    # rep, the smallest id of the class, stands for it from here
+    classes = stored(linked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "classes")
+    first = linked.select("doc_id", "key", "tokens", "splits").join(classes.select("key", "rep", "n"), "key").where("doc_id = rep").dropDuplicates(["rep", "key"])
+    entries = first.select("rep", "n", F.posexplode(F.arrays_zip("tokens", "splits")).alias("pos", "x")).select("rep", "n", "pos", F.col("x.tokens").alias("token"), F.col("x.splits").alias("splits"))
     entries = entries.withColumn("part", F.pmod(F.xxhash64("rep"), "splits").cast("int")).repartition(parts, "token", "part")
 
     alpha = F.ceil(pct * (F.col("n_a") + F.col("n_b")) / (100 + pct))
@@ -214,9 +214,10 @@ def ngram_groups(docs: DataFrame, n: int = 5, min_similarity_pct: int = 80, id_c
 
     # second round: what is left between components; members of a list's largest component only meet the others
     placed = listed.join(roots, listed["rep"] == roots["node"], "left").select("token", "splits", "part", "pos", "n", "rep", F.coalesce("root", "rep").alias("root"))
-    sizes = placed.groupBy("token", "root").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("token").agg(F.max_by("root", "c").alias("top"), F.count("*").alias("k")).where("k > 1").select("token", "top")
+    mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("token")
     open_ = stored(placed.join(mixed, "token"), "open")
+    tops = open_.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("top"))
+    open_ = open_.join(tops, "token")
     a, b = (
         side.select("token", F.col("part").alias(at), F.explode(F.expr("sequence(0, splits - 1)")).alias(other), "top", F.col("pos").alias(f"pos_{x}"), F.col("n").alias(f"n_{x}"), F.col("rep").alias(x), F.col("root").alias(f"root_{x}"))
         for x, at, other, side in (("a", "p", "q", open_.where("root != top")), ("b", "q", "p", open_))
