@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.archive import archive_plan
+from ..operators.contiguity import gap_ranges, split_intervals
 from ..operators.state import latest_changes, resume, visible
 from ..sources.ledger import BATCH, HOT_LIMIT, table
 
@@ -134,6 +135,44 @@ def _there(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def live_writer(blocks: DataFrame, path: str, start: int = 0) -> None:
+    """Persists a stream of blocks (block_number and more): each micro-batch n writes its blocks, the gaps that are left and
+    the watermarks together, as blocks/<n>, gaps/<n> and, last, marks/<n>; a reader takes the last n that has marks.
+
+    Gaps come from those of n - 1 without what has come, and from the holes above the latest block: the blocks before are
+    not read.  marks: earliest, latest, highest_contiguous.  Running a micro-batch again changes nothing; blocks that come
+    again change no gap; empty micro-batches carry the marks on.
+    """
+    spark = blocks.sparkSession
+
+    def step(new: DataFrame, n: int) -> None:
+        new.dropDuplicates(["block_number"]).write.mode("overwrite").parquet(f"{path}/blocks/{n}")
+        written = spark.read.schema(new.schema).parquet(f"{path}/blocks/{n}").select("block_number")
+        before = spark.read.parquet(f"{path}/marks/{n - 1}").first() if n else (None, None, start - 1)
+        top = start - 1 if before[1] is None else max(before[1], start - 1)
+        gaps = gap_ranges(written.where(F.col("block_number") > top), top + 1).select(F.col("gap_start").alias("s"), F.col("gap_end").alias("e"))
+        if n:
+            gaps = gaps.unionByName(split_intervals(spark.read.parquet(f"{path}/gaps/{n - 1}"), written.select(F.col("block_number").alias("n"))))
+        gaps.write.mode("overwrite").parquet(f"{path}/gaps/{n}")
+        ends = written.agg(F.least(F.min("block_number"), F.lit(before[0]).cast("bigint")).alias("earliest"), F.greatest(F.max("block_number"), F.lit(before[1]).cast("bigint")).alias("latest"))
+        first_gap = spark.read.schema("s bigint, e bigint").parquet(f"{path}/gaps/{n}").agg(F.min("s").alias("s"))
+        marks = ends.join(first_gap, F.lit(True)).select("earliest", "latest", F.coalesce(F.col("s") - 1, F.greatest("latest", F.lit(start - 1))).cast("bigint").alias("highest_contiguous"))
+        marks.write.mode("overwrite").parquet(f"{path}/marks/{n}")
+
+    blocks.writeStream.option("checkpointLocation", f"{path}/log").trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
+
+
+def written_state(spark: SparkSession, path: str) -> DataFrame:
+    """One row of a live writer's folder: earliest, latest, highest_contiguous, n_gaps, n_missing; no row before the first write."""
+    n = 0
+    while _there(spark, f"{path}/marks/{n}/_SUCCESS"):
+        n += 1
+    if not n:
+        return spark.createDataFrame([], "earliest bigint, latest bigint, highest_contiguous bigint, n_gaps bigint, n_missing bigint")
+    gaps = spark.read.parquet(f"{path}/gaps/{n - 1}").agg(F.count("*").alias("n_gaps"), F.coalesce(F.sum(F.expr("e - s + 1")), F.lit(0)).alias("n_missing"))
+    return spark.read.parquet(f"{path}/marks/{n - 1}").join(gaps, F.lit(True))
+
+
 def archiver(blocks: DataFrame, path: str, hot_limit: int, batch: int) -> None:
     """Persists a stream of blocks (block_number and more) and archives behind it: each micro-batch writes the hot tier
     anew as hot/<n>, without what it moves to cold/<n>, in folders of its own.
@@ -191,7 +230,14 @@ def _archived(s, d):
     return cold.groupBy("batch_start").agg(F.count("*").alias("n_blocks"), F.min("block_number").alias("first_block"), F.max("block_number").alias("last_block"))
 
 
+def _written(s, d):
+    path = shared_path(s, "live")
+    live_writer(source(s, d, "lineitem").select(F.col("l_orderkey").alias("block_number")), path)
+    return written_state(s, path)
+
+
 QUERIES = {
+    "stream_live_write": _written,
     "stream_fold_state": lambda s, d: fold_state(_changes(s, d), shared_path(s, "state")),
     "stream_history_then_live": _history_then_live,
     "stream_archiver": _archived,
@@ -202,6 +248,8 @@ QUERIES = {
     "stream_session_outcomes": lambda s, d: drained(session_outcomes(source(s, d, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.floor(F.col("event_id") / 2 + F.col("value") % 97).alias("block_number"))), "outcomes"),
 }
 SQL = {
+    "stream_live_write": """WITH p AS (SELECT DISTINCT l_orderkey AS n FROM lineitem), g AS (SELECT n, n - lag(n, 1, -1) OVER (ORDER BY n) - 1 AS hole FROM p)
+        SELECT min(n) AS earliest, max(n) AS latest, coalesce((SELECT min(n - hole) FROM g WHERE hole > 0) - 1, max(n)) AS highest_contiguous, count(*) FILTER (hole > 0) AS n_gaps, coalesce(sum(hole), 0)::BIGINT AS n_missing FROM g""",
     "stream_fold_state": "SELECT user_id AS key, ts, event_id AS seq, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'error'",
     "stream_history_then_live": "SELECT o_orderkey AS block_number, CASE WHEN o_orderkey < 1000 THEN 'history' ELSE 'live' END AS source FROM orders WHERE o_orderkey >= 500",
     "stream_archiver": f"""WITH m AS (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders), b AS (SELECT lo + (o_orderkey - lo) // {BATCH} * {BATCH} AS batch_start, hi, count(*) AS n, min(o_orderkey) AS f, max(o_orderkey) AS l FROM orders, m GROUP BY ALL)
