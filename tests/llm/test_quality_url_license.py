@@ -32,6 +32,22 @@ def test_suffix_array_repeats(spark):
         assert r.base_failed == (len(w) < 50 or 100 * r.n_repeat_words > 50 * len(w))
 
 
+def test_only_the_suffix_array_rejects(spark):
+    words = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    long_repeat = words("p", 101) + words("x", 400) + words("p", 101)  # one repeat over the limit of 100 words
+    at_the_limit = words("p", 100) + words("x", 400) + words("p", 100)
+    pieces = [words(f"b{k}_", 20) for k in range(10)]
+    apart = lambda k, side: pieces[k] + words(f"{side}{k}_", 22)
+    covered = sum((apart(k, "y") for k in range(10)), []) + sum((apart(k, "z") for k in reversed(range(10))), [])  # 400 of 840 words
+    clean = words("c", 500)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((long_repeat, at_the_limit, covered, clean))], "doc_id bigint, text string")
+    rows = sorted(quality.quality_rules(docs).collect())
+    assert not any(r.base_failed for r in rows)
+    assert [r.kept for r in rows] == [False, True, False, True]
+    assert (rows[0].longest_repeat, rows[1].longest_repeat, rows[2].n_covered, rows[3].n_covered) == (101, 100, 400, 0)
+    assert sorted(r.doc_id for r in quality.keep_good(docs).collect()) == [1, 3]
+
+
 def test_labelled_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     kept = {r.doc_id for r in quality.keep_good(docs).collect()}
