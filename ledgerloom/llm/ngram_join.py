@@ -105,11 +105,12 @@ def _verified(pairs: DataFrame, rows: DataFrame, n: int, pct: int) -> DataFrame:
         return np.packbits(bits)
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    held = rows.sparkSession.sparkContext.broadcast(np.unpackbits(_any_bits(ids, mark)).astype(bool))
+    held = rows.sparkSession.sparkContext.broadcast(_any_bits(ids, mark))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(held.value[_bit(b["id"].to_numpy())], pa.bool_()))
+            at = _bit(b["id"].to_numpy())
+            yield b.filter(pa.array((held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1, pa.bool_()))
 
     texts = rows.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text").mapInArrow(wanted, "id bigint, text string")
     a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")

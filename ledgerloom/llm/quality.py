@@ -14,13 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, table
+from .common import id_text, sliced, table
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_WORDS_PCT = 50, 50
 #: Words that a repeated substring has at least; the largest covered share of the words; the longest repeat allowed.
 MIN_REPEAT, MAX_COVERED_PCT, MAX_LONGEST = 8, 40, 100
-_BATCH_WORDS = 400_000
+_BATCH_WORDS = 100_000
 
 
 def _dense(keys: np.ndarray) -> np.ndarray:
@@ -166,7 +166,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = [x.split()[0] for x in _SCHEMA.split(", ")]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             m, failed, kept = _verdicts(b["text"].to_pylist(), min_repeat, max_covered_pct, max_longest)
             yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(x, pa.int64()) for x in m), pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_())], names)
 
@@ -177,7 +177,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", min_repeat: int = MIN_REP
     """The rows of docs, all columns, that quality_rules keeps; no shuffle."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, text_col):
             yield b.filter(pa.array(_verdicts([t or "" for t in b[text_col].to_pylist()], min_repeat, max_covered_pct, max_longest)[2], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
