@@ -7,6 +7,7 @@ UTF-8 bytes.  ``None`` texts count as empty everywhere.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
@@ -19,14 +20,24 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 _own_dir: str | None = None
+#: Bytes of an Arrow batch, where the session sets none: Spark's own bound counts rows, whatever the length of their texts.
+BATCH_BYTES = "6m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of the session's Arrow batches, unless it has a bound: JVM and worker each hold a batch whole."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator works on; other columns, whatever their names, stay out of its way."""
+    small_batches(docs.sparkSession)
     return docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
@@ -122,13 +133,24 @@ class WordHashes(dict):
         return h
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: a worker outlives its tasks, and others need the room."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def sliced(batches, column: str = "text", max_bytes: int = 3_000_000):
     """The batches in slices of about max_bytes of column, so that what a task unpacks at once stays small."""
     import pyarrow.compute as pc
 
+    give_back()
     for b in batches:
         if b.num_rows:
             filled = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b[column]), 0))) // max_bytes
             edges = [0, *(np.flatnonzero(np.diff(filled)) + 1).tolist(), b.num_rows]
             for start, stop in zip(edges[:-1], edges[1:], strict=True):
                 yield b.slice(start, stop - start)
+    give_back()

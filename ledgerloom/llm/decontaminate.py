@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import summed_counters, table, id_text
+from .common import id_text, sliced, small_batches, summed_counters, table
 
 #: Size of the hashed vocabulary: bounds what is broadcast and what reaches the driver.
 VOCABULARY = 1 << 18
@@ -67,12 +67,13 @@ def inverse_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         terms, total = Terms(), np.zeros(VOCABULARY + 32, np.int64)
-        for b in batches:
+        for b in sliced(batches):
             for raw in b["text"].cast(pa.binary()).to_pylist():
                 total[np.unique(term_ids(raw, terms))] += 1
             total[VOCABULARY] += b.num_rows
         return total
 
+    small_batches(docs.sparkSession)
     total = summed_counters(docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")), count, VOCABULARY + 32)
     return np.log((total[VOCABULARY] + 1.0) / (total[:VOCABULARY] + 0.5)).clip(0.05).astype(np.float32)
 
@@ -223,7 +224,7 @@ def _searcher(block, space, min_share: float, min_cosine: float, min_lcs: float,
         for j, (_, p, _, _) in enumerate(passages):
             by_window.setdefault(window_for(len(p)), []).append(j)
         terms = Terms()
-        for b in batches:
+        for b in sliced(batches):
             raws, spelled = b["text"].cast(pa.binary()).to_pylist(), {}
             ids = [term_ids(raw, terms) for raw in raws]
             sizes = np.array([len(x) for x in ids], np.int64)

@@ -99,10 +99,11 @@ def _verified(pairs: DataFrame, rows: DataFrame, n: int, pct: int) -> DataFrame:
     """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        bits = np.zeros(BITMAP, np.uint8)
+        bits = np.zeros(BITMAP // 8, np.uint8)
         for b in batches:
-            bits[_bit(b["id"].to_numpy())] = 1
-        return np.packbits(bits)
+            at = np.unique(_bit(b["id"].to_numpy()))
+            np.bitwise_or.at(bits, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+        return bits
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     held = rows.sparkSession.sparkContext.broadcast(_any_bits(ids, mark))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, sliced, table
+from .common import id_text, sliced, small_batches, table
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_WORDS_PCT = 50, 50
@@ -180,6 +180,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", min_repeat: int = MIN_REP
         for b in sliced(batches, text_col):
             yield b.filter(pa.array(_verdicts([t or "" for t in b[text_col].to_pylist()], min_repeat, max_covered_pct, max_longest)[2], pa.bool_()))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(keep, docs.schema)
 
 

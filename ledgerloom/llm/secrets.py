@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, sha_of, table
+from .common import id_text, sha_of, sliced, small_batches, table
 
 #: Fixed forms of the contract; (kind, pattern, group, least length of that group).
 _FLAGS = re.ASCII | re.IGNORECASE
@@ -95,7 +95,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = _compressor(identifiers)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for b in batches:
+        for b in sliced(batches):
             found = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans_of(t, compressor, novelty, context, near)] for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(found, kind)], ["doc_id", "spans"])
 
@@ -108,7 +108,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = _compressor(identifiers)
-        for b in batches:
+        for b in sliced(batches, text_col):
             texts = b[text_col].to_pylist()
             for i, t in enumerate(texts):
                 out, at = [], 0
@@ -124,6 +124,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
                 b = b.set_column(at, b.schema.field(at), pa.array([n if t is None else len(t) for t, n in zip(texts, old, strict=True)], b.schema.field(at).type))
             yield b
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(redact, docs.schema)
 
 
