@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.ledger import BATCH, HOT_LIMIT, SPACING, bucket, expected, items, present, tiers
+from ..sources.ledger import BATCH, HOT_LIMIT, bucket, expected, items, present, tiers
 from .contiguity import P
 
 #: Names of block response codes.
@@ -102,30 +102,24 @@ def upsert(writes: DataFrame) -> DataFrame:
     return last.select("block_number", F.col("w.item_order.l_partkey").alias("part"), F.col("w.item_order.l_suppkey").alias("session"))
 
 
-def requests_for_status(spark: SparkSession, d: str, spacing: int = SPACING) -> DataFrame:
-    """Numbers to past the end (spacing 1: every block, else those it divides), and the other forms of request."""
-    n = expected(spark, d).where(F.col("block_number") % spacing == 0)
+def requests_for_status(spark: SparkSession, d: str) -> DataFrame:
+    """The number of every block, as many past the end, and the other forms of request."""
+    n = expected(spark, d)
     numbers = n.select(F.col("block_number").alias("req_id"), "block_number").unionByName(n.select((F.col("block_number") + 1_000_000_000).alias("req_id"), (F.col("block_number") + 1_000_000_000).alias("block_number")))
     rows = [(-1, -1, None), (-2, None, True), (-3, None, False), (-4, None, None)]
     return numbers.withColumn("retrieve_latest", F.lit(None).cast("boolean")).unionByName(spark.createDataFrame(rows, "req_id bigint, block_number bigint, retrieve_latest boolean"))
 
 
-def _spaced(spark: SparkSession, d: str) -> DataFrame:
-    return expected(spark, d).where(F.col("block_number") % SPACING == 0).select("block_number")
-
-
 QUERIES = {
     "block_point_lookup": lambda s, d: point_lookup(expected(s, d), 42),
     "cold_point_lookup": lambda s, d: cold_lookup(tiers(expected(s, d))[1], 123),
-    "tiered_read": lambda s, d: tiered_read(_spaced(s, d), *tiers(present(s, d))),
-    "tiered_read_all": lambda s, d: tiered_read(expected(s, d).select("block_number"), *tiers(present(s, d))),
+    "tiered_read": lambda s, d: tiered_read(expected(s, d).select("block_number"), *tiers(present(s, d))),
     "all_blocks_union": lambda s, d: all_blocks(*tiers(present(s, d))),
     "strict_batch_read": lambda s, d: strict_batch_read(expected(s, d), 100, 10).select("block_number"),
     "historical_range": lambda s, d: historical_range(present(s, d), 2, 180),
     "latest_block": lambda s, d: expected(s, d).orderBy(F.desc("block_number")).limit(1),
     "server_status": lambda s, d: server_status(present(s, d)),
     "get_block_status": lambda s, d: block_status(requests_for_status(s, d), present(s, d)),
-    "get_block_status_all": lambda s, d: block_status(requests_for_status(s, d, 1), present(s, d)),
     "block_header_number": lambda s, d: header_number(items(s, d)),
     "block_assembly": lambda s, d: assemble_blocks(items(s, d)),
     "hot_upsert": lambda s, d: upsert(items(s, d)),
@@ -134,15 +128,15 @@ CUT = f"(SELECT (max(n) // {BATCH}) * {BATCH} - {HOT_LIMIT} FROM p)"
 SQL = {
     "block_point_lookup": "SELECT o_orderkey AS block_number, o_orderdate AS block_ts FROM orders WHERE o_orderkey = 42",
     "cold_point_lookup": f"WITH p AS (SELECT o_orderkey AS n FROM orders) SELECT n AS block_number, (n // {BATCH}) * {BATCH} AS batch_start FROM p WHERE n = 123 AND n < {CUT}",
-    "tiered_read": f"WITH {P} SELECT o_orderkey AS block_number, CASE WHEN o_orderkey NOT IN (SELECT n FROM p) THEN 'none' WHEN o_orderkey >= {CUT} THEN 'hot' ELSE 'cold' END AS tier FROM orders WHERE o_orderkey % {SPACING} = 0",
+    "tiered_read": f"WITH {P} SELECT o_orderkey AS block_number, CASE WHEN o_orderkey NOT IN (SELECT n FROM p) THEN 'none' WHEN o_orderkey >= {CUT} THEN 'hot' ELSE 'cold' END AS tier FROM orders",
     "all_blocks_union": f"WITH {P} SELECT n AS block_number, CASE WHEN n >= {CUT} THEN 'hot' ELSE 'cold' END AS tier FROM p",
     "strict_batch_read": "SELECT o_orderkey AS block_number FROM orders WHERE o_orderkey BETWEEN 100 AND 109",
     "historical_range": f"WITH {P} SELECT n AS block_number FROM p WHERE n BETWEEN 2 AND 180 AND n < coalesce((SELECT min(r) FROM unnest(range(2, 181)) AS u(r) WHERE r NOT IN (SELECT n FROM p)), 181)",
     "latest_block": "SELECT o_orderkey AS block_number, o_orderdate AS block_ts FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)",
     "server_status": "SELECT coalesce(min(l_orderkey), 0) AS first_available_block, coalesce(max(l_orderkey), 0) AS last_available_block, false AS only_latest_state FROM lineitem",
     "get_block_status": f"""WITH {P}, w AS (SELECT min(n) AS lo, max(n) AS hi FROM p), r AS (
-        SELECT o_orderkey AS req_id, o_orderkey AS b, NULL::BOOLEAN AS l FROM orders WHERE o_orderkey % {SPACING} = 0
-        UNION ALL SELECT o_orderkey + 1000000000, o_orderkey + 1000000000, NULL FROM orders WHERE o_orderkey % {SPACING} = 0
+        SELECT o_orderkey AS req_id, o_orderkey AS b, NULL::BOOLEAN AS l FROM orders
+        UNION ALL SELECT o_orderkey + 1000000000, o_orderkey + 1000000000, NULL FROM orders
         UNION ALL VALUES (-1, -1, NULL), (-2, NULL, true), (-3, NULL, false), (-4, NULL, NULL)),
         t AS (SELECT *, CASE WHEN b = -1 OR (b IS NULL AND l) THEN hi ELSE b END AS target FROM r, w)
         SELECT req_id, target, CASE WHEN b IS NULL AND NOT coalesce(l, false) THEN 'INVALID_REQUEST' WHEN target IS NULL THEN 'NOT_FOUND' WHEN target IN (SELECT n FROM p) THEN 'SUCCESS'
@@ -153,5 +147,6 @@ SQL = {
     "hot_upsert": """SELECT l_orderkey AS block_number, l_partkey AS part, l_suppkey AS session FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey
         ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC) AS r FROM lineitem) WHERE r = 1""",
 }
-#: The same over every block.
-SQL |= {f"{k}_all": SQL[k].replace(f" WHERE o_orderkey % {SPACING} = 0", "") for k in ("tiered_read", "get_block_status")}
+#: Second names of the same queries.
+for _k in ("tiered_read", "get_block_status"):
+    QUERIES[f"{_k}_all"], SQL[f"{_k}_all"] = QUERIES[_k], SQL[_k]

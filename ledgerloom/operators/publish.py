@@ -86,7 +86,7 @@ QUERIES = {
     "publish_outcomes": lambda s, d: outcomes(table(s, d, "events").select(F.col("event_id").alias("seq"), F.floor(F.col("event_id") / 2 + F.col("user_id") % 7).alias("block_number"))),
     "winner_retention": lambda s, d: retained_winners(race_winners(items(s, d))),
     "ack_correlation": lambda s, d: correlate_acks(_sent(s, d, "click"), _sent(s, d, "view").drop("id"), 3600),
-    "ack_fanout": lambda s, d: fan_out(expected(s, d).where("block_number < 200").select("block_number", (F.col("block_number") % 5).alias("group")), table(s, d, "supplier").select(F.col("s_suppkey").alias("session"), (F.col("s_suppkey") % 5).alias("group"))),
+    "ack_fanout": _fan_out_all,
     "ack_fanout_all": _fan_out_all,
     "claim_check_join": lambda s, d: claim(table(s, d, "events").select("event_id", F.col("user_id").alias("cache_key")), table(s, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("cache_key"), F.col("c_name").alias("payload"))),
     "header_to_proof": lambda s, d: header_to_proof(items(s, d).select("block_number", micros("arrival").alias("at"))),
@@ -101,10 +101,11 @@ SQL = {
     "winner_retention": f"WITH {_W}, x AS (SELECT max(block_number) AS l FROM wn) SELECT wn.* FROM wn, x WHERE l <= {RETENTION} OR block_number >= l - {RETENTION}",
     "ack_correlation": """SELECT a.user_id AS key, a.event_id AS id, min(b.ts) AS ack_ts, CASE WHEN min(b.ts) IS NULL THEN 'RESEND' ELSE 'ACK' END AS response FROM events a LEFT JOIN events b
         ON b.event_type = 'view' AND a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 3600 SECOND WHERE a.event_type = 'click' GROUP BY 1, 2""",
-    "ack_fanout": "SELECT o_orderkey AS block_number, s_suppkey AS session FROM orders JOIN supplier ON o_orderkey % 5 = s_suppkey % 5 WHERE o_orderkey < 200",
-    "ack_fanout_all": f"WITH c AS (SELECT greatest({GROUPS}, count(*) // {GROUP_SIZE}) AS g FROM supplier) SELECT o_orderkey AS block_number, s_suppkey AS session FROM c, orders, supplier WHERE o_orderkey % g = s_suppkey % g",
+    "ack_fanout": f"WITH c AS (SELECT greatest({GROUPS}, count(*) // {GROUP_SIZE}) AS g FROM supplier) SELECT o_orderkey AS block_number, s_suppkey AS session FROM c, orders, supplier WHERE o_orderkey % g = s_suppkey % g",
     "claim_check_join": "SELECT user_id AS cache_key, event_id, c_name AS payload FROM events LEFT JOIN customer ON user_id = c_custkey AND c_custkey % 2 = 0",
     "header_to_proof": "SELECT l_orderkey AS block_number, date_diff('microsecond', min(l_shipdate), max(l_shipdate)) AS micros FROM lineitem GROUP BY 1",
     "inter_block_time": """SELECT user_id, count(*) AS n, round(avg(d), 4) AS mean_micros FROM (SELECT user_id, date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id ORDER BY ts), ts) AS d FROM events)
         WHERE d IS NOT NULL GROUP BY 1""",
 }
+#: A second name of the same query.
+SQL["ack_fanout_all"] = SQL["ack_fanout"]

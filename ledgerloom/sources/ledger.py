@@ -17,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Blocks in an archive batch; blocks that stay hot; blocks a query's requests are spaced by.
-BATCH, HOT_LIMIT, SPACING = 100, 1000, 97
+#: Blocks in an archive batch; blocks that stay hot.
+BATCH, HOT_LIMIT = 100, 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
